@@ -8,13 +8,16 @@ give greater ones only.
 Equal shingle sets are one class, represented by their smallest id, before anything is compared, so a group of
 exact copies costs one row. Documents that share a band are candidates. Within a band's bucket it is links that
 count, not pairs: documents are first held against their bucket's smallest one, and pairs are only compared further
-while their ends lie in different components. What then is still apart is compared in full, so that banding alone
-decides which pairs are seen. Two documents at the threshold t are missed with probability (1 - t^rows)^bands: with
-0.8, 4 and 24, 3e-6; above it less.
+while their ends lie in different components. What then is still apart is compared in full. Before texts are read,
+one bit of each signature value weeds pairs out: at similarity J bits agree with chance (1 + J) / 2, and a pair goes
+if more differ than most_apart() allows: 43 of the 228. Two documents at the threshold 0.8 fail to share a band with probability
+(1 - 0.8^6)^38 = 1e-5 and the bits with 5e-6; above it with less. Six rows a band keep documents that merely share a long passage
+(J around 0.3) out of each other's buckets.
 """
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -28,7 +31,7 @@ from .common import written
 from .graph import components
 from .token_count import nullable_ints
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 38, 6
 U = np.uint64
 #: Elements whose permutations are held at once.
 CHUNK = 150_000
@@ -137,8 +140,26 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bit_words(sig: np.ndarray) -> np.ndarray:
+    """One bit of each value, packed into 64-bit words."""
+    bits = (mix(np.ascontiguousarray(sig).view(U)) & U(1)).astype(np.uint8)
+    raw = np.packbits(np.pad(bits, ((0, 0), (0, -sig.shape[1] % 64))), axis=1)
+    return np.ascontiguousarray(raw).view(np.int64)
+
+
+def most_apart(m: int, percent: int) -> int:
+    """Bits that may differ at the threshold: the mean and 4.5 deviations."""
+    t = percent / 100
+    return int(m * (1 - t) / 2 + 4.5 * math.sqrt(m * (1 - t * t) / 4))
+
+
+def apart(x: str, y: str, n: int):
+    """Column: the number of bits that differ between two arrays of n words."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(n)), F.lit(0))
+
+
 def sketch(docs: DataFrame, k: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
-    """(key_, n_, f1_, f2_, bands_): set size, fingerprint of the whole set and band keys (none for an empty set)."""
+    """(key_, n_, f1_, f2_, bands_, bits_): set size, fingerprint of the whole set, band keys (none for an empty set), bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(k)
@@ -147,15 +168,16 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int, key: str, text: str)
                 part = b.iloc[s : s + 512]
                 sets = [shingle(x) for x in part["text_"]]
                 prints = np.array([divmod(xxhash.xxh3_128_intdigest(x.tobytes()), 1 << 64) for x in sets], dtype=U).view(np.int64).reshape(-1, 2)
-                keys = band_keys(signatures(sets, bands * rows), bands, rows)
-                yield pd.DataFrame({"key_": part["key_"].to_numpy(), "n_": [len(x) for x in sets], "f1_": prints[:, 0], "f2_": prints[:, 1], "bands_": [list(q) if len(x) else [] for x, q in zip(sets, keys, strict=True)]})
+                sig = signatures(sets, bands * rows)
+                keys, bits = band_keys(sig, bands, rows), bit_words(sig)
+                yield pd.DataFrame({"key_": part["key_"].to_numpy(), "n_": [len(x) for x in sets], "f1_": prints[:, 0], "f2_": prints[:, 1], "bands_": [list(q) if len(x) else [] for x, q in zip(sets, keys, strict=True)], "bits_": list(bits)})
 
     rows_in = docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_"))
-    return nullable_ints(rows_in, run, "key_ long, n_ long, f1_ long, f2_ long, bands_ array<long>")
+    return nullable_ints(rows_in, run, "key_ long, n_ long, f1_ long, f2_ long, bands_ array<long>, bits_ array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union."""
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, words: int, most: int) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union; ``texts`` has key_, text_, bits_."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, held = Shingler(k), OrderedDict()
@@ -183,7 +205,9 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
             yield b.loc[good, ["a", "b"]]
 
     side = lambda c: texts.select(F.col("key_").alias(c), F.col("text_").alias(f"{c}_text"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text").mapInPandas(run, "a long, b long")
+    bits = lambda c: texts.select(F.col("key_").alias(c), F.col("bits_").alias(f"{c}_bits"))
+    near = pairs.join(bits("b"), "b").join(bits("a"), "a").where(apart("a_bits", "b_bits", words) <= most).select("a", "b").distinct()
+    return near.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,16 +221,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     seen = written(sketch(docs, k, bands, rows, key, text), "sketch")
     own = seen.where("key_ is not null")
     classes = written(own.where("n_ > 0").groupBy("f1_", "f2_").agg(F.min("key_").alias("rep_")), "classes")
-    member = written(own.join(classes, ["f1_", "f2_"], "left").select("key_", "n_", F.coalesce("rep_", "key_").alias("rep_"), F.when(F.col("rep_") == F.col("key_"), F.col("bands_")).alias("bands_")), "members")
+    member = written(own.join(classes, ["f1_", "f2_"], "left").select("key_", "n_", F.coalesce("rep_", "key_").alias("rep_"), *(F.when(F.col("rep_") == F.col("key_"), F.col(c)).alias(c) for c in ("bands_", "bits_"))), "members")
+    words, most = -(-bands * rows // 64), most_apart(bands * rows, percent)
 
     band = member.where("bands_ is not null").select("rep_", F.explode("bands_").alias("band_"))
     shared = written(band.groupBy("band_").agg(F.min("rep_").alias("lead_"), F.max("rep_").alias("last_")).where("lead_ < last_").select("band_", "lead_"), "buckets")
     bucket = written(band.join(shared, "band_"), "candidates")
-    vertices = bucket.select(F.col("rep_").alias("key_")).distinct()
-    texts = written(docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).join(vertices, "key_", "left_semi"), "texts")
+    vertices = bucket.select("rep_").distinct().join(member.where("bits_ is not null").select("rep_", "bits_"), "rep_").dropDuplicates(["rep_"]).withColumnRenamed("rep_", "key_")
+    vertices = written(vertices, "vertices")
+    texts = written(docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).join(vertices, "key_"), "texts")
 
     tried = written(bucket.where("lead_ < rep_").groupBy(F.col("rep_").alias("b")).agg(F.min("lead_").alias("a")).select("a", "b"), "pairs")
-    links = written(verified(tried, texts, k, percent), "edges")
+    links = written(verified(tried, texts, k, percent, words, most), "edges")
     group = components(links)
     for turn in range(LEADER_ROUNDS + 1):
         # buckets that still hold several components
@@ -218,15 +244,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         if turn < LEADER_ROUNDS:
             pairs = mixed.where("component <> low_").select(F.least("rep_", "lead_").alias("a"), F.greatest("rep_", "lead_").alias("b"))
         else:
-            one = mixed.select("band_", F.col("rep_").alias("a"), F.col("component").alias("ca"))
-            two = mixed.select("band_", F.col("rep_").alias("b"), F.col("component").alias("cb"))
-            pairs = one.join(two, "band_").where("a < b and ca <> cb").select("a", "b")
+            known = mixed.select("band_", "rep_", "component").join(vertices.withColumnRenamed("key_", "rep_"), "rep_")
+            one = known.select("band_", F.col("rep_").alias("a"), F.col("component").alias("ca"), F.col("bits_").alias("a_bits"))
+            two = known.select("band_", F.col("rep_").alias("b"), F.col("component").alias("cb"), F.col("bits_").alias("b_bits"))
+            pairs = one.join(two, "band_").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart("a_bits", "b_bits", words) <= most)).select("a", "b")
         pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count() == 0:
             if mixed.limit(1).count() == 0:
                 break
             continue
-        found = written(verified(pairs, texts, k, percent), "edges")
+        found = written(verified(pairs, texts, k, percent, words, most), "edges")
         tried = tried.union(pairs)
         if found.limit(1).count():
             links = links.union(found)
