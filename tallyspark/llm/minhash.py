@@ -237,21 +237,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     for turn in range(LEADER_ROUNDS + 1):
         # buckets that still hold several components
         placed = bucket.select("band_", "rep_").join(group.select(F.col("node").alias("rep_"), "component"), "rep_", "left").withColumn("component", F.coalesce("component", "rep_"))
-        placed = written(placed, "placed")
-        lead = placed.groupBy("band_").agg(F.min("component").alias("low_"), F.max("component").alias("high_"), F.min_by("rep_", F.struct("component", F.xxhash64("rep_", F.lit(turn)))).alias("lead_")).where("low_ < high_")
-        lead = written(lead, "mixed")
-        mixed = written(placed.join(lead, "band_"), "apart")
+        placed = written(placed.join(vertices.withColumnRenamed("key_", "rep_"), "rep_"), "placed")
+        first = F.min_by(F.struct("rep_", "bits_"), F.struct("component", F.xxhash64("rep_", F.lit(turn))))
+        lead = placed.groupBy("band_").agg(F.min("component").alias("low_"), F.max("component").alias("high_"), first.alias("x_")).where("low_ < high_")
+        lead = written(lead.select("band_", "low_", F.col("x_.rep_").alias("lead_"), F.col("x_.bits_").alias("b_bits")), "mixed")
+        if lead.limit(1).count() == 0:
+            break
         if turn < LEADER_ROUNDS:
-            pairs = mixed.where("component <> low_").select(F.least("rep_", "lead_").alias("a"), F.greatest("rep_", "lead_").alias("b"))
+            near = placed.withColumnRenamed("bits_", "a_bits").join(lead.withColumnRenamed("band_", "at_"), (F.col("band_") == F.col("at_")) & (F.col("component") != F.col("low_")) & (apart("a_bits", "b_bits", words) <= most))
+            pairs = near.select(F.least("rep_", "lead_").alias("a"), F.greatest("rep_", "lead_").alias("b"))
         else:
-            known = mixed.select("band_", "rep_", "component").join(vertices.withColumnRenamed("key_", "rep_"), "rep_")
+            known = placed.join(lead.select("band_"), "band_")
             one = known.select("band_", F.col("rep_").alias("a"), F.col("component").alias("ca"), F.col("bits_").alias("a_bits"))
-            two = known.select("band_", F.col("rep_").alias("b"), F.col("component").alias("cb"), F.col("bits_").alias("b_bits"))
-            pairs = one.join(two, "band_").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart("a_bits", "b_bits", words) <= most)).select("a", "b")
+            two = known.select(F.col("band_").alias("at_"), F.col("rep_").alias("b"), F.col("component").alias("cb"), F.col("bits_").alias("b_bits"))
+            pairs = one.join(two, (F.col("band_") == F.col("at_")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart("a_bits", "b_bits", words) <= most)).select("a", "b")
         pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count() == 0:
-            if mixed.limit(1).count() == 0:
-                break
             continue
         found = written(verified(pairs, texts, k, percent, words, most), "edges")
         tried = tried.union(pairs)
