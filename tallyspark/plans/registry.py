@@ -1,2 +1,463 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""All queries of the ledger engine and the SQL that says the same for DuckDB."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import headers, scalars
+from ..operators import audit, chunk, evalmetric, reconcile, retrieve, rows
+from ..sources.ledger import LEDGER_SQL, SENTINELS, read, transactions
+from . import dialect
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, ledger: bool = False):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = (LEDGER_SQL if ledger else "") + sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# -- audit questions -------------------------------------------------------------------------------------------------
+
+AMOUNT = "CAST(greatest(coalesce(debit, 0), coalesce(credit, 0)) AS DOUBLE) AS amount, CASE WHEN coalesce(credit, 0) > 0 THEN 'credit' ELSE 'debit' END AS direction"
+ENTRY = "bank_name, account_no, date, description"
+
+for _name, _f, _sql in (
+    ("audit_001", audit.date_range, "SELECT min(date) AS earliest, max(date) AS latest FROM transactions"),
+    ("audit_002", audit.per_account, "SELECT bank_name, account_no, count(*) AS n FROM transactions GROUP BY bank_name, account_no"),
+    ("audit_003", audit.largest, f"SELECT bank_name, account_no, date, {AMOUNT} FROM transactions ORDER BY amount DESC, bank_name, account_no, date, direction LIMIT 5"),
+    ("audit_004", audit.on_weekend, f"SELECT {ENTRY}, {AMOUNT} FROM transactions WHERE extract(dow FROM date) IN (5, 6)"),
+    ("audit_005", audit.at_month_end, f"SELECT {ENTRY}, {AMOUNT} FROM transactions WHERE date = last_day(date)"),
+    ("audit_006", audit.around_year_end, f"SELECT {ENTRY}, {AMOUNT} FROM transactions WHERE strftime(date, '%m-%d') BETWEEN '06-25' AND '07-05'"),
+    ("audit_007", audit.in_and_out, "SELECT a.bank_name, a.account_no, CAST(a.credit AS DOUBLE) AS amount, a.date FROM transactions a JOIN transactions b ON a.bank_name = b.bank_name AND a.account_no = b.account_no AND a.credit = b.debit AND a.credit > 0 AND b.date BETWEEN a.date AND a.date + 1"),
+    ("audit_008", audit.backdated, f"SELECT bank_name, account_no, date, value_date, CAST(date - value_date AS INTEGER) AS days_backdated, {AMOUNT} FROM transactions WHERE value_date IS NOT NULL AND value_date < date"),
+    ("audit_009", audit.structuring, f"SELECT {ENTRY}, CAST(credit AS DOUBLE) AS amount FROM transactions WHERE credit BETWEEN 900000 AND 999999 AND search_text LIKE '%cash deposit%'"),
+    ("audit_010", audit.duplicate_debits, f"SELECT {ENTRY}, CAST(debit AS DOUBLE) AS amount, count(*) AS occurrences FROM transactions WHERE debit > 0 GROUP BY {ENTRY}, debit HAVING count(*) > 1"),
+):
+    query(_name, _sql, ledger=True)(lambda s, d, f=_f: f(transactions(s, d)))
+
+#: The same questions as PostgreSQL text, through the dialect layer.
+POSTGRES = {
+    "dialect_weekend": ("SELECT bank_name, account_no, date FROM transactions WHERE extract(dow from date) IN (5,6) AND credit::numeric > 0 ORDER BY date DESC", None),
+    "dialect_month_end": ("SELECT account_no, date, count(*) AS n FROM transactions WHERE date = (date_trunc('month',date)+interval '1 month - 1 day')::date GROUP BY account_no, date", "SELECT account_no, date, count(*) AS n FROM transactions WHERE date = last_day(date) GROUP BY account_no, date"),
+    "dialect_to_char": ("SELECT account_no, to_char(date,'MM-DD') AS md FROM transactions WHERE to_char(date,'MM-DD') BETWEEN '06-25' AND '07-05'", "SELECT account_no, strftime(date, '%m-%d') AS md FROM transactions WHERE strftime(date, '%m-%d') BETWEEN '06-25' AND '07-05'"),
+    "dialect_date_minus": ("SELECT account_no, (date - value_date) AS days FROM transactions WHERE value_date < date", "SELECT account_no, CAST(date - value_date AS INTEGER) AS days FROM transactions WHERE value_date < date"),
+    "dialect_regex": (r"SELECT account_no, description FROM transactions WHERE search_text ~* '\mcash\M|clearing'", r"SELECT account_no, description FROM transactions WHERE regexp_matches(search_text, '(?i)\bcash\b|clearing')"),
+}
+for _name, (_pg, _sql) in POSTGRES.items():
+
+    def _dialect(s: SparkSession, d: str, sql=_pg) -> DataFrame:
+        transactions(s, d).createOrReplaceTempView("transactions")
+        return dialect.run(s, sql)
+
+    query(_name, _sql or "SELECT bank_name, account_no, date FROM transactions WHERE extract(dow FROM date) IN (5, 6) AND credit > 0", ledger=True)(_dialect)
+
+# -- profile and predicates --------------------------------------------------------------------------------------------
+
+PROFILED = ["bank_name", "account_no", "date", "value_date", "description", "credit", "debit"]
+
+
+def _profile_sql(c: str) -> str:
+    ranged = c in ("date", "value_date", "credit", "debit")
+    end = lambda f: f"CAST({f}({c}) AS VARCHAR)" if ranged else "CAST(NULL AS VARCHAR)"
+    return f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_distinct, {end('min')} AS min_value, {end('max')} AS max_value FROM transactions"
+
+
+@query("schema_profile", " UNION ALL ".join(map(_profile_sql, PROFILED)), ledger=True)
+def _schema_profile(s, d):
+    return audit.profile(transactions(s, d), PROFILED)
+
+
+_FEW = ["description", "bank_name", "account_no"]
+
+
+@query("low_card_values", " UNION ALL ".join(f"SELECT '{c}' AS column_name, coalesce(string_agg({c}, ', ' ORDER BY {c}), '(Empty)') AS value_list FROM (SELECT DISTINCT {c} FROM transactions WHERE {c} IS NOT NULL) HAVING count(*) < 10" for c in _FEW), ledger=True)
+def _low_card(s, d):
+    return audit.few_values(transactions(s, d), _FEW)
+
+
+@query("sentinel_filter", "SELECT o_orderkey, v FROM (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'None' WHEN 1 THEN ' nan ' WHEN 2 THEN 'null' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE o_orderpriority END AS v FROM orders) WHERE v IS NOT NULL AND trim(v) NOT IN ('None', 'nan', 'null', '')")
+def _sentinel(s, d):
+    k = F.col("o_orderkey") % 7
+    v = F.when(k == 0, "None").when(k == 1, " nan ").when(k == 2, "null").when(k == 3, "").when(k == 4, F.lit(None)).otherwise(F.col("o_orderpriority"))
+    return read(s, d, "orders").select("o_orderkey", v.alias("v")).where(audit.real_text(F.col("v"), SENTINELS))
+
+
+@query("search_word_boundary", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\bmit\b') AND NOT regexp_matches(text, '[^\x00-\x7F]')")
+def _word(s, d):
+    return read(s, d, "documents").where(audit.whole_word(F.col("text"), "mit") & ~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id")
+
+
+@query("search_text_build", "SELECT account_no, search_text, count(*) AS n FROM transactions GROUP BY account_no, search_text", ledger=True)
+def _search_text(s, d):
+    return transactions(s, d).groupBy("account_no", "search_text").agg(F.count("*").alias("n"))
+
+
+@query("unaccent", "SELECT doc_id, lower(strip_accents(replace(replace(replace(replace(text, 'ß', 'ss'), 'œ', 'oe'), 'ø', 'o'), 'æ', 'ae'))) AS plain FROM documents")
+def _unaccent(s, d):
+    return read(s, d, "documents").select("doc_id", F.lower(scalars.unaccent(F.col("text"))).alias("plain"))
+
+
+# -- scalars -----------------------------------------------------------------------------------------------------------
+
+
+def _amount_texts(s: SparkSession, d: str) -> DataFrame:
+    """Amounts in many spellings, from lineitem."""
+    n, v = F.col("l_orderkey") % 8, F.col("l_extendedprice").cast("decimal(15,2)").cast("string")
+    t = F.when(n == 0, F.concat(F.lit("$"), v)).when(n == 1, F.concat(F.lit("("), v, F.lit(")"))).when(n == 2, F.concat(F.lit(" "), v, F.lit(" "))).when(n == 3, F.concat(v, F.lit("d"))).when(n == 4, F.lit("n/a")).when(n == 5, F.concat(F.lit("1,"), v)).when(n == 6, F.lit("")).otherwise(v)
+    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", t.alias("v"))
+
+
+_AMOUNT_TEXTS = """
+WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_orderkey % 8 WHEN 0 THEN '$' || v WHEN 1 THEN '(' || v || ')' WHEN 2 THEN ' ' || v || ' ' WHEN 3 THEN v || 'd' WHEN 4 THEN 'n/a' WHEN 5 THEN '1,' || v WHEN 6 THEN '' ELSE v END AS v
+    FROM (SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS v FROM lineitem))
+"""
+
+
+@query("parse_decimal", _AMOUNT_TEXTS + """SELECT l_orderkey, l_linenumber, CAST(CASE WHEN regexp_full_match(w, '[+-]?(\\d+\\.?\\d*|\\.\\d+)') THEN TRY_CAST(w AS DECIMAL(18,2)) END AS DOUBLE) AS value
+    FROM (SELECT *, translate(CASE WHEN contains(v, '(') AND contains(v, ')') THEN '-' || translate(v, '()', '') ELSE trim(v) END, '$,', '') AS w FROM t)""")
+def _decimal(s, d):
+    return _amount_texts(s, d).select("l_orderkey", "l_linenumber", scalars.parse_decimal(F.col("v")).cast("double").alias("value"))
+
+
+@query("check_convertible", _AMOUNT_TEXTS + "SELECT l_orderkey, l_linenumber, regexp_full_match(replace(trim(v), ',', ''), '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') AS ok FROM t")
+def _convertible(s, d):
+    return _amount_texts(s, d).select("l_orderkey", "l_linenumber", scalars.is_float(F.col("v")).alias("ok"))
+
+
+@query("parse_integer", "SELECT l_orderkey, l_linenumber, CASE l_orderkey % 4 WHEN 0 THEN CAST(trunc(l_extendedprice) AS BIGINT) WHEN 1 THEN CAST(1000 * l_linenumber AS BIGINT) WHEN 2 THEN NULL ELSE -l_orderkey END AS value FROM lineitem")
+def _integer(s, d):
+    n = F.col("l_orderkey") % 4
+    t = F.when(n == 0, F.col("l_extendedprice").cast("decimal(15,2)").cast("string")).when(n == 1, F.format_number(F.col("l_linenumber") * 1000, 0)).when(n == 2, F.lit("12x")).otherwise((-F.col("l_orderkey")).cast("string"))
+    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.parse_integer(t).alias("value"))
+
+
+@query("parse_boolean", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS value FROM orders")
+def _boolean(s, d):
+    t = F.when(F.col("o_orderstatus") == "F", " Yes").when(F.col("o_orderstatus") == "O", "OFF").otherwise("maybe")
+    return read(s, d, "orders").select("o_orderkey", scalars.parse_boolean(t).alias("value"))
+
+
+@query("parse_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 8 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS value FROM orders")
+def _date(s, d):
+    formats = ["dd/MM/yyyy", "dd-MM-yyyy", "d MMM yyyy", "yyyy-MM-dd", "dd-MMM-yy", "d/M/yy", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss"]
+    t = F.lit("not a date")
+    for i, f in enumerate(formats):
+        t = F.when(F.col("o_orderkey") % 9 == i, F.date_format("o_orderdate", f)).otherwise(t)
+    return read(s, d, "orders").select("o_orderkey", scalars.parse_date(t).alias("value"))
+
+
+@query("parse_time", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE strftime(ts, '%H:%M') END AS value FROM events")
+def _time(s, d):
+    t = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "hh:mm a")).otherwise("noonish")
+    return read(s, d, "events").select("event_id", scalars.parse_time(t).alias("value"))
+
+
+@query("truncate_string", "SELECT doc_id, substring(text, 1, 50) AS value FROM documents")
+def _truncate(s, d):
+    return read(s, d, "documents").select("doc_id", scalars.truncate_string(F.col("text"), 50).alias("value"))
+
+
+@query("amount_text", "SELECT o_orderkey, format('{:,.2f}', CAST(o_totalprice AS DOUBLE)) AS value FROM orders")
+def _amount_text(s, d):
+    return read(s, d, "orders").select("o_orderkey", scalars.amount_text(F.col("o_totalprice").cast("decimal(15,2)")).alias("value"))
+
+
+HEADER_SAMPLES = ["Date", "Trans Date", "Posting Date", "Value Date", "Particulars", "Narration", "Transaction Details", "Remarks", "Withdrawals", "Dr Amount", "Debit", "Deposits", "Cr. Amount", "Balance", "Ref No", "Cheque No", "Chq.No", "Branch", "Originating Branch", "Code", "Trans Code", "SL", "Instr. No", "Transaction Type", "Batch No", "Trace No", "Time", "page_index", "passed_validation", "bank_name", "stmt_account_no", "File ID", "Transaction Date", "Serial", "Running Balance", "Check", ""]
+
+
+def _header_sql() -> str:
+    case = " ".join("WHEN regexp_full_match(t, '{}', 'i') THEN '{}'".format(p.replace("'", "''"), n) for n, p in headers.HEADERS)
+    values = ", ".join(f"('{h}')" for h in HEADER_SAMPLES)
+    return f"SELECT header, CASE WHEN t = '' THEN NULL {case} END AS canonical FROM (SELECT header, trim(translate(header, '/.', '  ')) AS t FROM (VALUES {values}) v(header))"
+
+
+@query("header_match", _header_sql())
+def _headers(s, d):
+    return s.createDataFrame([(h,) for h in HEADER_SAMPLES], "header string").select("header", headers.match_header(F.col("header")).alias("canonical"))
+
+
+@query("union_header_split", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '123456' WHEN 1 THEN '654321' END AS cheque, CASE o_orderkey % 3 WHEN 0 THEN 'AB' WHEN 2 THEN 'REF9' END AS reference FROM orders")
+def _union_split(s, d):
+    t = F.when(F.col("o_orderkey") % 3 == 0, "123456 / AB").when(F.col("o_orderkey") % 3 == 1, "654321").otherwise("REF9")
+    a, b = headers.split_union(t, "cheque", "reference")
+    return read(s, d, "orders").select("o_orderkey", a.alias("cheque"), b.alias("reference"))
+
+
+# -- raw rows ----------------------------------------------------------------------------------------------------------
+
+
+def _raw_rows(s: SparkSession, d: str) -> DataFrame:
+    """Five-cell statement rows from orders: date, text, debit, credit, balance; some in need of repair, some invalid."""
+    k, v = F.col("o_orderkey") % 12, F.col("o_totalprice").cast("decimal(15,2)").cast("string")
+    dt, e = F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("")
+    a = lambda *x: F.array(*x)
+    cells = (
+        F.when(k == 0, a(dt, F.lit("pay<br/>ment"), v, e, v)).when(k == 1, a(dt, F.lit("both"), v, v, v)).when(k == 2, a(dt, F.lit("a\\"), F.lit("b"), v, e, v))
+        .when(k == 3, a(dt, F.lit("wide"), e, v, v, e, e)).when(k == 4, a(e, F.lit("goes on"), e, e, e)).when(k == 5, a(F.lit("-"), F.lit("."), e, e, e))
+        .when(k == 6, a(dt, F.lit("balance only"), e, e, v)).when(k == 7, a(dt, F.lit("no balance"), v, v, e)).when(k == 8, a(dt, F.lit("zero"), F.lit("0.00"), e, v))
+        .when(k == 9, a(dt, F.lit("words"), F.lit("x"), e, v)).when(k == 10, a(dt, F.lit(None).cast("string"), v, e, v)).otherwise(a(dt, F.lit("ok"), e, F.lit("1.234.50"), v))
+    )
+    return read(s, d, "orders").select("o_orderkey", "o_custkey", cells.alias("cells"))
+
+
+@query("row_validity", "SELECT o_orderkey, CAST(5 AS INTEGER) AS n_cells, (o_orderkey % 12) IN (0, 2, 3, 4, 8, 11) AS valid FROM orders WHERE o_orderkey % 12 <> 10")
+def _validity(s, d):
+    r = _raw_rows(s, d).where(rows.no_null_cells(F.col("cells"))).withColumn("cells", rows.repaired(F.col("cells"), 5))
+    c = lambda i: F.get("cells", F.lit(i))
+    return r.select("o_orderkey", F.size("cells").alias("n_cells"), rows.valid_row(F.col("cells"), 5, c(3), c(2), c(4)).alias("valid"))
+
+
+@query("cell_cleanup", "SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN 'pay' || chr(10) || 'ment' WHEN 2 THEN 'ab' WHEN 11 THEN '1234.50' END AS cell FROM orders WHERE o_orderkey % 12 IN (0, 2, 11)")
+def _cleanup(s, d):
+    r = _raw_rows(s, d).where("o_orderkey % 12 in (0, 2, 11)").withColumn("cells", rows.repaired(F.col("cells"), 5))
+    return r.select("o_orderkey", F.when(F.col("o_orderkey") % 12 == 11, F.col("cells")[3]).otherwise(F.col("cells")[1]).alias("cell"))
+
+
+@query("balance_suffix", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN 'abc' ELSE CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) END AS balance FROM orders")
+def _suffix(s, d):
+    v = F.col("o_totalprice").cast("decimal(15,2)").cast("string")
+    t = F.when(F.col("o_orderkey") % 3 == 0, F.concat(v, F.lit(" CR"))).when(F.col("o_orderkey") % 3 == 1, v).otherwise("abc")
+    return read(s, d, "orders").select("o_orderkey", F.trim(rows.strip_suffix(t)).alias("balance"))
+
+
+@query("header_reset", "SELECT o_custkey, o_orderkey FROM (SELECT *, min(CASE WHEN o_orderstatus = 'P' THEN o_orderkey END) OVER (PARTITION BY o_custkey) AS h FROM orders) WHERE h IS NULL OR o_orderkey > h")
+def _header_reset(s, d):
+    r = read(s, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("row_idx"), F.when(F.col("o_orderstatus") == "P", F.array(F.lit("Date"), F.lit("Balance"))).otherwise(F.array(F.col("o_orderstatus"), F.lit("1"))).alias("cells"))
+    return rows.after_header(r, ["Date", "Balance"], ["o_custkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("page_renumber", "SELECT conv_id, turn, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS page_index FROM conversations WHERE turn % 3 <> 1")
+def _renumber(s, d):
+    r = read(s, d, "conversations").where("turn % 3 <> 1").select(F.col("conv_id").alias("file"), F.col("turn").alias("page"), F.lit(0).alias("row_idx"), F.array("text").alias("cells"))
+    out = rows.stitch_pages(r, F.lit(False))
+    return out.select(F.col("file").alias("conv_id"), F.col("page").alias("turn"), "page_index")
+
+
+_STITCH = """
+WITH p AS (SELECT conv_id, turn, text, role = 'user' AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+b AS (SELECT *, max(CASE WHEN NOT (c AND i >= 1) THEN i END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS brk FROM p),
+m AS (SELECT *, c AND i >= 1 AND (i - 1 - coalesce(brk, 0)) % 2 = 0 AS mg FROM b),
+n AS (SELECT *, lead(CASE WHEN mg THEN text END) OVER (PARTITION BY conv_id ORDER BY i) AS nxt FROM m)
+SELECT conv_id, turn, CASE WHEN coalesce(nxt, '') = '' THEN text WHEN text = '' THEN nxt ELSE text || ' ' || nxt END AS text FROM n WHERE NOT mg
+"""
+
+
+@query("page_stitch", _STITCH)
+def _stitch(s, d):
+    r = read(s, d, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("page"), F.lit(0).alias("row_idx"), F.array("text").alias("cells"), (F.col("role") == "user").alias("user"))
+    return rows.stitch_pages(r, F.col("user")).select(F.col("file").alias("conv_id"), F.col("page").alias("turn"), F.col("cells")[0].alias("text"))
+
+
+# -- reconciliation ------------------------------------------------------------------------------------------------------
+
+
+@query("column_comma_fix", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS v FROM lineitem WHERE l_orderkey % 50 = 0")
+def _comma(s, d):
+    v = F.col("l_extendedprice").cast("decimal(15,2)").cast("string")
+    r = read(s, d, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("file"), v.alias("x"), F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")).alias("n"))
+    r = r.withColumn("v", F.when(F.col("n") % 2 == 0, F.replace("x", F.lit("."), F.lit(","))).otherwise(F.col("x")))
+    return reconcile.comma_to_dot(r, "v").select("l_orderkey", "l_linenumber", "v")
+
+
+@query("debit_sign_flip", "SELECT event_id, CASE WHEN n > 1 AND p = 0 THEN abs(v) ELSE v END AS debit FROM (SELECT event_id, v, count(CASE WHEN v <> 0 THEN 1 END) OVER (PARTITION BY user_id) AS n, count(CASE WHEN v > 0 THEN 1 END) OVER (PARTITION BY user_id) AS p FROM (SELECT event_id, user_id, CASE WHEN user_id % 2 = 0 THEN -value ELSE value END AS v FROM events))")
+def _flip(s, d):
+    v = F.when(F.col("user_id") % 2 == 0, -F.col("value")).otherwise(F.col("value")).cast("string")
+    r = read(s, d, "events").select("event_id", F.col("user_id").alias("file"), v.alias("debit"))
+    return reconcile.amounts(r, ["debit"], "debit").select("event_id", "debit")
+
+
+def _statement(s: SparkSession, d: str) -> DataFrame:
+    """A statement for each user: events as credits and debits in whole units, running balances, fixed disturbances."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = read(s, d, "events").select("event_id", F.col("user_id").alias("file"), (F.row_number().over(w) - 1).alias("row_idx"), (F.floor(F.abs("value") * 7) + 1).cast("double").alias("a"), "user_id")
+    e = e.withColumn("credit", F.when(F.col("event_id") % 2 == 0, F.col("a")).otherwise(0.0)).withColumn("debit", F.when(F.col("event_id") % 2 == 1, F.col("a")).otherwise(0.0))
+    run = F.sum(F.col("credit") - F.col("debit")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    e = e.withColumn("balance", 1_000_000 + run).withColumn("opening_balance", F.lit(1_000_000.0))
+    k = F.col("event_id") % 10
+    swapped = e.withColumns({"credit": F.when(k == 3, F.col("debit")).when(k == 6, -F.col("credit")).otherwise(F.col("credit")), "debit": F.when(k == 3, F.lit(0.0)).otherwise(F.when(k == 8, F.lit(0.0)).otherwise(F.col("debit")))})
+    return swapped.withColumn("credit", F.when(k == 8, 0.0).otherwise(F.col("credit")))
+
+
+_STATEMENT = """
+WITH e AS (SELECT event_id, user_id AS file, floor(abs(value) * 7) + 1 AS a, event_id % 10 AS k FROM events),
+f AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN a ELSE 0 END AS c0, CASE WHEN event_id % 2 = 1 THEN a ELSE 0 END AS d0 FROM e),
+g AS (SELECT *, 1000000 + sum(c0 - d0) OVER (PARTITION BY file ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS b FROM f),
+h AS (SELECT event_id, file, k, b, c0, CASE k WHEN 3 THEN d0 WHEN 6 THEN -c0 WHEN 8 THEN 0 ELSE c0 END AS c, CASE WHEN k IN (3, 8) THEN 0 ELSE d0 END AS d FROM g),
+l AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY file ORDER BY event_id), 1000000) AS p FROM h WHERE NOT (c = 0 AND d = 0) AND NOT (c > 0 AND d > 0))
+"""
+
+
+@query("reconcile_balance_check", _STATEMENT + "SELECT event_id, abs(b - (p + c - d)) <= 1e-9 * greatest(abs(b), abs(p + c - d)) AS balanced FROM l")
+def _check(s, d):
+    r = _statement(s, d).where("not (credit = 0 and debit = 0) and not (credit > 0 and debit > 0)")
+    before = F.coalesce(F.lag("balance").over(Window.partitionBy("file").orderBy("row_idx")), F.col("opening_balance"))
+    return r.select("event_id", reconcile.close(F.col("balance"), before + F.col("credit") - F.col("debit")).alias("balanced"))
+
+
+@query("reconcile")
+def _reconcile(s, d):
+    return reconcile.reconcile(_statement(s, d)).select("event_id", "repair_kind", "credit", "debit", "balance", "passed_validation")
+
+
+@query("standardize_sort", "SELECT bank_name, account_no, date, description, CAST(row_number() OVER (PARTITION BY bank_name, account_no ORDER BY date, value_date, description, credit, debit) AS INTEGER) AS seq FROM transactions", ledger=True)
+def _sort(s, d):
+    w = Window.partitionBy("bank_name", "account_no").orderBy("date", "value_date", "description", "credit", "debit")
+    r = transactions(s, d).select("bank_name", "account_no", F.concat_ws("/", "bank_name", "account_no").alias("file"), "date", F.lit(None).cast("string").alias("time"), "description", "debit", F.row_number().over(w).alias("row_idx"))
+    return reconcile.standardised(r).select("bank_name", "account_no", "date", "description", "seq")
+
+
+# -- chunks and retrieval ------------------------------------------------------------------------------------------------
+
+_TOKENS = "list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')"
+
+
+def _chunks_sql(size: int, overlap: int) -> str:
+    return f"""WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents), c AS (SELECT doc_id, t, CAST(unnest(range(0, CAST(ceil(len(t) / {size}.0) AS BIGINT))) AS INTEGER) AS chunk_index FROM t WHERE len(t) > 0),
+    s AS (SELECT *, greatest(chunk_index * {size} - {overlap}, 0) AS st FROM c)
+    SELECT doc_id, chunk_index, CAST(len(t[st + 1 : (chunk_index + 1) * {size}]) AS INTEGER) AS n_tokens, array_to_string(t[st + 1 : (chunk_index + 1) * {size}], ' ') AS chunk FROM s"""
+
+
+@query("chunk_fixed", _chunks_sql(512, 0))
+def _fixed(s, d):
+    return chunk.fixed_chunks(read(s, d, "documents"), "doc_id", "text")
+
+
+@query("chunk_overlap", _chunks_sql(128, 16))
+def _overlap(s, d):
+    return chunk.fixed_chunks(read(s, d, "documents"), "doc_id", "text", 128, 16)
+
+
+@query("token_count", f"SELECT doc_id, CAST(len({_TOKENS}) AS INTEGER) AS n FROM documents")
+def _tokens(s, d):
+    return read(s, d, "documents").select("doc_id", chunk.token_count(F.col("text")).alias("n"))
+
+
+@query("chunk_pack")
+def _pack(s, d):
+    r = read(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", chunk.csv_line(F.array(*(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_returnflag")), F.date_format("l_shipdate", "yyyy MM dd"))).alias("line"))
+    return chunk.pack_rows(r, F.lit("order,line,flag,date"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], limit=64)
+
+
+_STOP = ", ".join(f"'{w}'" for w in chunk.STOPWORDS)
+
+
+@query("text_preprocess", f"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '' AND NOT list_contains([{_STOP}], x)), ' ') AS words FROM documents")
+def _preprocess(s, d):
+    return read(s, d, "documents").select("doc_id", F.array_join(chunk.preprocess(F.col("text")), " ").alias("words"))
+
+
+@query("corpus_stats", "SELECT count(DISTINCT url) AS pages, count(DISTINCT page_id) AS chunks, CAST(0 AS BIGINT) AS queries FROM pages")
+def _stats(s, d):
+    return chunk.corpus_stats(read(s, d, "pages").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("image_filename"), F.lit("").alias("query")))
+
+
+_SCORES = """
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, q.label AS q_label, round(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 6) AS score FROM n q JOIN n c ON q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+"""
+
+
+def _found(s: SparkSession, d: str, k: int) -> DataFrame:
+    e = read(s, d, "embeddings")
+    return retrieve.top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k)
+
+
+@query("topk_inner_product", _SCORES + "SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 3")
+def _topk(s, d):
+    return _found(s, d, 3)
+
+
+for _how, _agg in (("max", "max"), ("mean", "avg"), ("sum", "sum")):
+
+    @query(f"page_score_{_how}", _SCORES + f"SELECT query_id, vec_id % 10 AS page, CAST(round({_agg}(CAST(score AS DECIMAL(12,6))), 5) AS DOUBLE) AS score FROM r WHERE rank <= 20 GROUP BY query_id, vec_id % 10")
+    def _pages(s, d, how=_how):
+        return retrieve.page_scores(_found(s, d, 20).withColumn("page", F.col("vec_id") % 10).withColumn("score", F.col("score").cast("decimal(12,6)")), how).withColumn("score", F.col("score").cast("double"))
+
+
+@query("retrieval_context", _SCORES + "SELECT query_id, string_agg('--- Chunk ' || rank || ' ---' || chr(10) || 'label ' || label, chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 3 GROUP BY query_id")
+def _context(s, d):
+    text = read(s, d, "embeddings").select("vec_id", F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"))
+    return retrieve.context(_found(s, d, 3).join(text, "vec_id"))
+
+
+_IR = _SCORES + """, good AS (SELECT q.vec_id AS query_id, d.vec_id FROM embeddings q JOIN embeddings d ON q.vec_id % 20 = 0 AND q.label = d.label), nr AS (SELECT query_id, count(*) AS n_rel FROM good GROUP BY query_id),
+h AS (SELECT r.query_id, r.rank, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS hits FROM r JOIN good g ON r.query_id = g.query_id AND r.vec_id = g.vec_id WHERE r.rank <= 50),
+k AS (SELECT unnest([1, 3, 5, 10]) AS k),
+q AS (SELECT nr.query_id, k.k, n_rel, coalesce((SELECT sum(1 / log2(rank + 1)) FROM h WHERE h.query_id = nr.query_id AND rank <= k.k), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(k.k, n_rel) + 1) t(i)) AS nd,
+    coalesce((SELECT count(*) FROM h WHERE h.query_id = nr.query_id AND rank <= k.k), 0) AS hit, coalesce((SELECT sum(hits / rank) FROM h WHERE h.query_id = nr.query_id AND rank <= k.k), 0) AS ap FROM nr CROSS JOIN k)
+SELECT metric, CAST(k AS INTEGER) AS k, round(value, 6) AS value FROM (
+    SELECT 'nDCG' AS metric, k, avg(nd) AS value FROM q GROUP BY k UNION ALL SELECT 'P', k, avg(hit / k) FROM q GROUP BY k UNION ALL SELECT 'R', k, avg(hit / n_rel) FROM q GROUP BY k UNION ALL SELECT 'AP', k, avg(ap / n_rel) FROM q GROUP BY k
+    UNION ALL SELECT 'RR', 0, avg(coalesce(1 / (SELECT min(rank) FROM h WHERE h.query_id = nr.query_id), 0)) FROM nr
+    UNION ALL SELECT 'Rprec', 0, avg(coalesce((SELECT count(*) FROM h WHERE h.query_id = nr.query_id AND rank <= n_rel), 0) / n_rel) FROM nr)
+"""
+
+
+@query("ir_metrics", _IR)
+def _ir(s, d):
+    e = read(s, d, "embeddings")
+    run = _found(s, d, 50).select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    qrels = q.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id", F.lit(1).alias("rel"))
+    return retrieve.ir_metrics(run, qrels)
+
+
+# -- evaluation ------------------------------------------------------------------------------------------------------------
+
+
+def _perturbed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    gold = read(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+    k = F.col("o_orderkey")
+    pred = gold.where(k % 11 != 0).withColumns({"o_totalprice": F.when(k % 7 == 0, F.col("o_totalprice") + 0.004).when(k % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")), "o_orderstatus": F.when(k % 2 == 0, F.lower("o_orderstatus")).otherwise(F.concat(F.col("o_orderstatus"), F.lit(" ")))})
+    return pred, gold
+
+
+_COUNTS = """
+WITH g AS (SELECT o_orderkey, o_orderkey % 11 <> 0 AS there, o_orderkey % 7 = 0 AS near, o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0 AS far FROM orders),
+c AS (SELECT count(*) FILTER (there AND NOT far AND NOT ({exact} AND near)) AS tp, count(*) FILTER (there AND (far OR ({exact} AND near))) AS fp, count(*) FILTER (NOT there OR far OR ({exact} AND near)) AS fn FROM g)
+"""
+_PRF = "SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS set_precision, round(tp / (tp + fn), 6) AS set_recall, round(2 * tp / (2 * tp + fp + fn), 6) AS set_f1, round(tp / (tp + fp + fn), 6) AS set_jaccard FROM c"
+
+
+@query("eval_exact_match", _COUNTS.format(exact="true") + "SELECT tp, fp, fn FROM c")
+def _exact(s, d):
+    return evalmetric.exact_matches(*_perturbed(s, d))
+
+
+@query("eval_tolerant_prf", _COUNTS.format(exact="false") + _PRF)
+def _prf(s, d):
+    return evalmetric.scores(evalmetric.tolerant_matches(*_perturbed(s, d)))
+
+
+@query("eval_macro", "SELECT o_orderpriority AS solution, round(avg(p), 6) AS set_precision, round(avg(p), 6) AS set_recall, round(avg(p), 6) AS set_f1, round(avg(p), 6) AS set_jaccard, round(sum(a) / 20000, 6) AS accuracy, count(*) AS n FROM (SELECT o_orderpriority, (o_orderkey % 10) / 10.0 AS p, CAST(o_orderkey % 3 = 0 AS INTEGER) AS a FROM orders) GROUP BY o_orderpriority")
+def _macro(s, d):
+    p = (F.col("o_orderkey") % 10) / 10.0
+    e = read(s, d, "orders").select(F.col("o_orderpriority").alias("solution"), *(p.alias(c) for c in ("set_precision", "set_recall", "set_f1", "set_jaccard")), (F.col("o_orderkey") % 3 == 0).cast("int").alias("execution_accuracy"))
+    return evalmetric.macro(e, 20_000)
+
+
+@query("ingest_new_files", "SELECT o_custkey AS file_name, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY o_custkey")
+def _ingest(s, d):
+    from ..sources.ledger import not_yet_ingested
+
+    known = read(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("file_name"))
+    return not_yet_ingested(read(s, d, "orders").select(F.col("o_custkey").alias("file_name"), "o_orderkey"), known).groupBy("file_name").agg(F.count("*").alias("n"))
