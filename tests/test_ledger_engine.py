@@ -133,7 +133,7 @@ def test_reconciliation_equals_a_loop(spark):
             c, d = rnd.choice([(round(rnd.uniform(1, 9000), 2), 0.0), (0.0, round(rnd.uniform(1, 900), 2))])
             balance = round(balance + c - d, 2)
             k = rnd.randrange(9)
-            file.append([(c, d, balance), (c * 10, d * 10, balance), (-c, -d, balance), (d, c, balance), (c, d, -balance), (0.0, 0.0, balance), (c + 1, d + 1, balance), (c, d, round(balance / 10, 3)), (c, d, balance)][k])
+            file.append([(c, d, balance), (round(c * 10, 1), round(d * 10, 1), balance), (-c, -d, balance), (d, c, balance), (c, d, -balance), (0.0, 0.0, balance), (c + 1, d + 1, balance), (c, d, round(balance / 10, 3)), (c, d, balance)][k])
         data += [(f"f{f}", i, *map(float, r), 1000.5) for i, r in enumerate(file)]
         want += [(f"f{f}", *x) for x in loop([tuple(map(float, r)) for r in file], 1000.5)]
     df = spark.createDataFrame(data, "file string, row_idx int, credit double, debit double, balance double, opening_balance double")
