@@ -9,8 +9,8 @@ Equal shingle sets are one class, represented by their smallest id, before anyth
 exact copies costs one row. Documents that share a band are candidates. Within a band's bucket it is links that
 count, not pairs: documents are first held against their bucket's smallest one, and pairs are only compared further
 while their ends lie in different components. What then is still apart is compared in full. Before texts are read,
-one bit of each signature value weeds pairs out: at similarity J bits agree with chance (1 + J) / 2, and a pair goes
-if more differ than most_apart() allows: 43 of the 228. Two documents at the threshold 0.8 fail to share a band with probability
+four bits of each signature value weed pairs out: at similarity J they differ with chance (1 - J) * 15 / 16, and a
+pair goes if more differ than most_apart() allows: 69 of the 228. Two documents at the threshold 0.8 fail to share a band with probability
 (1 - 0.8^6)^38 = 1e-5 and the bits with 5e-6; above it with less. Six rows a band keep documents that merely share a long passage
 (J around 0.3) out of each other's buckets.
 """
@@ -141,21 +141,27 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def bit_words(sig: np.ndarray) -> np.ndarray:
-    """One bit of each value, packed into 64-bit words."""
-    bits = (mix(np.ascontiguousarray(sig).view(U)) & U(1)).astype(np.uint8)
-    raw = np.packbits(np.pad(bits, ((0, 0), (0, -sig.shape[1] % 64))), axis=1)
-    return np.ascontiguousarray(raw).view(np.int64)
+    """Four bits of each value, packed into 64-bit words."""
+    nibbles = (mix(np.ascontiguousarray(sig).view(U)) & U(15)).astype(np.uint8)
+    nibbles = np.pad(nibbles, ((0, 0), (0, -sig.shape[1] % 16)))
+    return np.ascontiguousarray(nibbles[:, ::2] << 4 | nibbles[:, 1::2]).view(np.int64)
 
 
 def most_apart(m: int, percent: int) -> int:
-    """Bits that may differ at the threshold: the mean and 4.5 deviations."""
-    t = percent / 100
-    return int(m * (1 - t) / 2 + 4.5 * math.sqrt(m * (1 - t * t) / 4))
+    """Values of m that may differ at the threshold: the mean and 4.5 deviations."""
+    p = (1 - percent / 100) * 15 / 16
+    return int(m * p + 4.5 * math.sqrt(m * p * (1 - p)))
 
 
 def apart(x: str, y: str, n: int):
-    """Column: the number of bits that differ between two arrays of n words."""
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(n)), F.lit(0))
+    """Column: the number of values whose four bits differ, of two arrays of n words."""
+    total = F.lit(0)
+    for i in range(n):
+        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        total = total + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 def sketch(docs: DataFrame, k: int, bands: int, rows: int, key: str, text: str) -> DataFrame:
@@ -176,8 +182,8 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int, key: str, text: str)
     return nullable_ints(rows_in, run, "key_ long, n_ long, f1_ long, f2_ long, bands_ array<long>, bits_ array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, words: int, most: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union; ``texts`` has key_, text_, bits_."""
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union; ``texts`` has key_ and text_."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, held = Shingler(k), OrderedDict()
@@ -205,9 +211,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, words: in
             yield b.loc[good, ["a", "b"]]
 
     side = lambda c: texts.select(F.col("key_").alias(c), F.col("text_").alias(f"{c}_text"))
-    bits = lambda c: texts.select(F.col("key_").alias(c), F.col("bits_").alias(f"{c}_bits"))
-    near = pairs.join(bits("b"), "b").join(bits("a"), "a").where(apart("a_bits", "b_bits", words) <= most).select("a", "b").distinct()
-    return near.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text").mapInPandas(run, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,7 +226,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     own = seen.where("key_ is not null")
     classes = written(own.where("n_ > 0").groupBy("f1_", "f2_").agg(F.min("key_").alias("rep_")), "classes")
     member = written(own.join(classes, ["f1_", "f2_"], "left").select("key_", "n_", F.coalesce("rep_", "key_").alias("rep_"), *(F.when(F.col("rep_") == F.col("key_"), F.col(c)).alias(c) for c in ("bands_", "bits_"))), "members")
-    words, most = -(-bands * rows // 64), most_apart(bands * rows, percent)
+    words, most = -(-bands * rows // 16), most_apart(bands * rows, percent)
 
     band = member.where("bands_ is not null").select("rep_", F.explode("bands_").alias("band_"))
     shared = written(band.groupBy("band_").agg(F.min("rep_").alias("lead_"), F.max("rep_").alias("last_")).where("lead_ < last_").select("band_", "lead_"), "buckets")
@@ -232,29 +236,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     texts = written(docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).join(vertices, "key_"), "texts")
 
     tried = written(bucket.where("lead_ < rep_").groupBy(F.col("rep_").alias("b")).agg(F.min("lead_").alias("a")).select("a", "b"), "pairs")
-    links = written(verified(tried, texts, k, percent, words, most), "edges")
+    links = written(verified(tried, texts, k, percent), "edges")
     group = components(links)
     for turn in range(LEADER_ROUNDS + 1):
         # buckets that still hold several components
         placed = bucket.select("band_", "rep_").join(group.select(F.col("node").alias("rep_"), "component"), "rep_", "left").withColumn("component", F.coalesce("component", "rep_"))
-        placed = written(placed.join(vertices.withColumnRenamed("key_", "rep_"), "rep_"), "placed")
-        first = F.min_by(F.struct("rep_", "bits_"), F.struct("component", F.xxhash64("rep_", F.lit(turn))))
-        lead = placed.groupBy("band_").agg(F.min("component").alias("low_"), F.max("component").alias("high_"), first.alias("x_")).where("low_ < high_")
-        lead = written(lead.select("band_", "low_", F.col("x_.rep_").alias("lead_"), F.col("x_.bits_").alias("b_bits")), "mixed")
+        placed = written(placed, "placed")
+        first = F.min_by("rep_", F.struct("component", F.xxhash64("rep_", F.lit(turn))))
+        lead = placed.groupBy("band_").agg(F.min("component").alias("low_"), F.max("component").alias("high_"), first.alias("lead_")).where("low_ < high_")
+        lead = written(lead.select("band_", "low_", "lead_").join(vertices.select(F.col("key_").alias("lead_"), F.col("bits_").alias("b_bits")), "lead_"), "mixed")
         if lead.limit(1).count() == 0:
             break
+        known = placed.join(lead.select("band_"), "band_").join(vertices.withColumnRenamed("key_", "rep_"), "rep_")
+        known = written(known, "apart")
         if turn < LEADER_ROUNDS:
-            near = placed.withColumnRenamed("bits_", "a_bits").join(lead.withColumnRenamed("band_", "at_"), (F.col("band_") == F.col("at_")) & (F.col("component") != F.col("low_")) & (apart("a_bits", "b_bits", words) <= most))
+            near = known.withColumnRenamed("bits_", "a_bits").join(lead.withColumnRenamed("band_", "at_"), (F.col("band_") == F.col("at_")) & (F.col("component") != F.col("low_")) & (apart("a_bits", "b_bits", words) <= most))
+            # one link to a component is enough: of its leaders each document is held against the likeliest
+            near = near.groupBy("rep_", "low_").agg(F.min_by("lead_", F.struct(apart("a_bits", "b_bits", words), "lead_")).alias("lead_"))
             pairs = near.select(F.least("rep_", "lead_").alias("a"), F.greatest("rep_", "lead_").alias("b"))
         else:
-            known = placed.join(lead.select("band_"), "band_")
             one = known.select("band_", F.col("rep_").alias("a"), F.col("component").alias("ca"), F.col("bits_").alias("a_bits"))
             two = known.select(F.col("band_").alias("at_"), F.col("rep_").alias("b"), F.col("component").alias("cb"), F.col("bits_").alias("b_bits"))
             pairs = one.join(two, (F.col("band_") == F.col("at_")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart("a_bits", "b_bits", words) <= most)).select("a", "b")
         pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count() == 0:
             continue
-        found = written(verified(pairs, texts, k, percent, words, most), "edges")
+        found = written(verified(pairs, texts, k, percent), "edges")
         tried = tried.union(pairs)
         if found.limit(1).count():
             links = links.union(found)
