@@ -10,7 +10,7 @@ exact copies costs one row. Documents that share a band are candidates. Within a
 count, not pairs: documents are first held against their bucket's smallest one, and pairs are only compared further
 while their ends lie in different components. What then is still apart is compared in full. Before texts are read,
 four bits of each signature value weed pairs out: at similarity J they differ with chance (1 - J) * 15 / 16, and a
-pair goes if more differ than most_apart() allows: 69 of the 228. Two documents at the threshold 0.8 fail to share a band with probability
+pair goes if more differ than most_apart() allows: 106 of the 384. Bands use the first 228 values. Two documents at the threshold 0.8 fail to share a band with probability
 (1 - 0.8^6)^38 = 1e-5 and the bits with 5e-6; above it with less. Six rows a band keep documents that merely share a long passage
 (J around 0.3) out of each other's buckets.
 """
@@ -31,10 +31,10 @@ from .common import written
 from .graph import components
 from .token_count import nullable_ints
 
-BANDS, ROWS = 38, 6
+BANDS, ROWS, VALUES = 38, 6, 384
 U = np.uint64
 #: Elements whose permutations are held at once.
-CHUNK = 150_000
+CHUNK = 12_000
 #: Rounds against other bucket leaders before what is left is compared in full.
 LEADER_ROUNDS = 2
 
@@ -174,8 +174,8 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int, key: str, text: str)
                 part = b.iloc[s : s + 512]
                 sets = [shingle(x) for x in part["text_"]]
                 prints = np.array([divmod(xxhash.xxh3_128_intdigest(x.tobytes()), 1 << 64) for x in sets], dtype=U).view(np.int64).reshape(-1, 2)
-                sig = signatures(sets, bands * rows)
-                keys, bits = band_keys(sig, bands, rows), bit_words(sig)
+                sig = signatures(sets, max(VALUES, bands * rows))
+                keys, bits = band_keys(sig[:, : bands * rows], bands, rows), bit_words(sig)
                 yield pd.DataFrame({"key_": part["key_"].to_numpy(), "n_": [len(x) for x in sets], "f1_": prints[:, 0], "f2_": prints[:, 1], "bands_": [list(q) if len(x) else [] for x, q in zip(sets, keys, strict=True)], "bits_": list(bits)})
 
     rows_in = docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_"))
@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     own = seen.where("key_ is not null")
     classes = written(own.where("n_ > 0").groupBy("f1_", "f2_").agg(F.min("key_").alias("rep_")), "classes")
     member = written(own.join(classes, ["f1_", "f2_"], "left").select("key_", "n_", F.coalesce("rep_", "key_").alias("rep_"), *(F.when(F.col("rep_") == F.col("key_"), F.col(c)).alias(c) for c in ("bands_", "bits_"))), "members")
-    words, most = -(-bands * rows // 16), most_apart(bands * rows, percent)
+    values = max(VALUES, bands * rows)
+    words, most = -(-values // 16), most_apart(values, percent)
 
     band = member.where("bands_ is not null").select("rep_", F.explode("bands_").alias("band_"))
     shared = written(band.groupBy("band_").agg(F.min("rep_").alias("lead_"), F.max("rep_").alias("last_")).where("lead_ < last_").select("band_", "lead_"), "buckets")
