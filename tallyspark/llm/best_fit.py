@@ -44,7 +44,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, key
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = bpe.vocabulary(path)
-        memo = bpe.Memo(lambda raw: np.array(v.merge(raw), dtype="<u4").tobytes())
+        ids_of = v.quick()
+        memo = bpe.Memo(lambda raw: np.array(ids_of(raw), dtype="<u4").tobytes())
         word = lambda i: int(i).to_bytes(4, "little")
         for b in batches:
             out = []

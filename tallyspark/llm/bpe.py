@@ -114,6 +114,17 @@ class Vocabulary:
                 heapq.heappush(heap, (p[0], h, at[h], made, p[1]))
         return [x for x in at if x >= 0] if symbols else n - merges
 
+    def quick(self):
+        """bytes of a word -> its ids, by the tiktoken library where that merges alike: if ids rise with the merges' ranks,
+        a pair's rank is that of the token it makes. Else by merge()."""
+        made = [z for _, z in sorted(self.pairs.values())]
+        if made != sorted(set(made)) or any(z <= b for z in made[:1] for b in self.first):
+            return self.merge
+        import tiktoken
+
+        ranks = {b: i for i, b in enumerate(self.token) if b and i not in self.specials.values()}
+        return tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
     # -- lookahead -------------------------------------------------------------------------------------------------
 
     def lookahead(self) -> int:

@@ -59,7 +59,8 @@ def token_table(docs: DataFrame, path: str, length: int, end_id: int, key: str,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = bpe.vocabulary(path)
         kind = "<u2" if len(v.token) <= 1 << 16 else "<u4"
-        memo = bpe.Memo(lambda raw: np.array(v.merge(raw), dtype=kind).tobytes())
+        ids_of = v.quick()
+        memo = bpe.Memo(lambda raw: np.array(ids_of(raw), dtype=kind).tobytes())
         word = lambda i: np.array([i], dtype=kind).tobytes()
         part, start, size = TaskContext.get().partitionId(), 0, int(kind[2])
         for b in batches:

@@ -510,3 +510,12 @@ def test_pipeline_stages_keep_columns(spark):
         ids = {r[0] for r in out.select("doc_id").collect()}
         assert 0.5 * docs.count() < len(ids) <= docs.count()
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_quick_merging_is_merging(path):
+    v, rnd = bpe.vocabulary(path), random.Random(8)
+    quick = v.quick()
+    assert quick != v.merge
+    for _ in range(3000):
+        raw = bytes(rnd.choice(b" abcdetionghrs\xc3\xa9\xf0\x00") for _ in range(rnd.randint(1, 40)))
+        assert list(quick(raw)) == v.merge(raw)
