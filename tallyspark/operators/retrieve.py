@@ -61,9 +61,10 @@ def page_of(image: Column) -> Column:
     return F.split_part(image, F.lit("."), F.lit(1))
 
 
-def page_scores(scores: DataFrame, how: str = "max", qid: str = "query_id", page: str = "page", digits: int = 5) -> DataFrame:
-    f = {"max": F.max, "mean": F.avg, "sum": F.sum}[how]
-    return scores.where(F.col(page).isNotNull()).groupBy(qid, page).agg(F.round(f("score"), digits).alias("score"))
+def page_scores(scores: DataFrame, how: str = "max", qid: str = "query_id", page: str = "page", digits: int | None = 5) -> DataFrame:
+    mean = lambda c: F.sum(c).cast("double") / F.count(c)
+    f = {"max": F.max, "mean": mean, "sum": F.sum}[how]("score")
+    return scores.where(F.col(page).isNotNull()).groupBy(qid, page).agg((f if digits is None else F.round(f, digits)).alias("score"))
 
 
 def context(found: DataFrame, text: str = "text", qid: str = "query_id") -> DataFrame:

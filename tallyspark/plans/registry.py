@@ -387,11 +387,11 @@ def _topk(s, d):
     return _found(s, d, 3)
 
 
-for _how, _agg in (("max", "max"), ("mean", "avg"), ("sum", "sum")):
+for _how, _agg in (("max", "CAST(max(score) AS DOUBLE)"), ("mean", "CAST(sum(CAST(score AS DECIMAL(12,6))) AS DOUBLE) / count(*)"), ("sum", "CAST(sum(CAST(score AS DECIMAL(12,6))) AS DOUBLE)")):
 
-    @query(f"page_score_{_how}", _SCORES + f"SELECT query_id, vec_id % 10 AS page, CAST(round({_agg}(CAST(score AS DECIMAL(12,6))), 5) AS DOUBLE) AS score FROM r WHERE rank <= 20 GROUP BY query_id, vec_id % 10")
+    @query(f"page_score_{_how}", _SCORES + f"SELECT query_id, vec_id % 10 AS page, {_agg} AS score FROM r WHERE rank <= 20 GROUP BY query_id, vec_id % 10")
     def _pages(s, d, how=_how):
-        return retrieve.page_scores(_found(s, d, 20).withColumn("page", F.col("vec_id") % 10).withColumn("score", F.col("score").cast("decimal(12,6)")), how).withColumn("score", F.col("score").cast("double"))
+        return retrieve.page_scores(_found(s, d, 20).withColumn("page", F.col("vec_id") % 10).withColumn("score", F.col("score").cast("decimal(12,6)")), how, digits=None).withColumn("score", F.col("score").cast("double"))
 
 
 @query("retrieval_context", _SCORES + "SELECT query_id, string_agg('--- Chunk ' || rank || ' ---' || chr(10) || 'label ' || label, chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 3 GROUP BY query_id")
