@@ -43,14 +43,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, key
     """Every document's ids and an end id, cut into pieces: (key_, piece, start, length, ids_crc32)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = bpe.vocabulary(path)
-        ids_of = v.quick()
-        memo = bpe.Memo(lambda raw: np.array(ids_of(raw), dtype="<u4").tobytes())
-        word = lambda i: int(i).to_bytes(4, "little")
+        encode, end = bpe.encoder(path, "<u4"), end_id.to_bytes(4, "little")
         for b in batches:
             out = []
             for k, x in zip(b["key_"], b["text_"], strict=True):
-                ids = b"".join(word(s) if s >= 0 else b"".join(map(memo.__getitem__, w)) for s, w in bpe.pieces(v, x)) + word(end_id)
+                ids = encode(x) + end
                 out += [(k, p, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for p, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
             yield pd.DataFrame(out, columns=["key_", "piece", "start", "length", "ids_crc32"]).astype({"key_": "Int64"})
 

@@ -12,6 +12,7 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 # The published split pattern of byte-level BPE vocabularies of this kind. \s is spelled as the
@@ -22,6 +23,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 CACHE_WORDS = 400_000
 #: Words longer than this are never remembered.
 WORD_BYTES = 256
+#: Most characters of a text that the tiktoken library splits; its pattern engine overflows on longer runs of white space.
+LIBRARY_CHARS = 20_000
 
 
 def default_path() -> str:
@@ -114,16 +117,16 @@ class Vocabulary:
                 heapq.heappush(heap, (p[0], h, at[h], made, p[1]))
         return [x for x in at if x >= 0] if symbols else n - merges
 
-    def quick(self):
-        """bytes of a word -> its ids, by the tiktoken library where that merges alike: if ids rise with the merges' ranks,
-        a pair's rank is that of the token it makes. Else by merge()."""
+    def library(self):
+        """The tiktoken library's encoder where it merges alike: if ids rise with the merges' ranks, a pair's rank is that
+        of the token it makes. Else None."""
         made = [z for _, z in sorted(self.pairs.values())]
         if made != sorted(set(made)) or any(z <= b for z in made[:1] for b in self.first):
-            return self.merge
+            return None
         import tiktoken
 
         ranks = {b: i for i, b in enumerate(self.token) if b and i not in self.specials.values()}
-        return tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     # -- lookahead -------------------------------------------------------------------------------------------------
 
@@ -186,6 +189,25 @@ def pieces(v: Vocabulary, text: str) -> Iterator[tuple[int, list[str]]]:
             yield -1, v.split.findall(part)
 
 
+def encoder(path: str, kind: str):
+    """text -> its ids as bytes of numpy's ``kind``.
+
+    The library splits and merges at once, but fails on very long runs of white space: texts over LIBRARY_CHARS, which
+    alone can hold such runs, are split here and merged word by word, with the same ids.
+    """
+    v = vocabulary(path)
+    library = v.library()
+    raw = lambda ids: np.array(ids, dtype=kind).tobytes()
+    memo = Memo((lambda word: raw(library._encode_single_piece(word))) if library else (lambda word: raw(v.merge(word))))
+
+    def encode(text: str) -> bytes:
+        if library and len(text) <= LIBRARY_CHARS and not any(x in text for x in v.specials):
+            return raw(library.encode_ordinary(text))
+        return b"".join(raw([special]) if special >= 0 else b"".join(map(memo.__getitem__, words)) for special, words in pieces(v, text))
+
+    return encode
+
+
 # -- streaming -----------------------------------------------------------------------------------------------------
 
 

@@ -57,14 +57,11 @@ def token_table(docs: DataFrame, path: str, length: int, end_id: int, key: str,
     """(part_, start_, n_, key_, ids_): a document's ids, its number of sequences and the ones before it in its task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = bpe.vocabulary(path)
-        kind = "<u2" if len(v.token) <= 1 << 16 else "<u4"
-        ids_of = v.quick()
-        memo = bpe.Memo(lambda raw: np.array(ids_of(raw), dtype=kind).tobytes())
-        word = lambda i: np.array([i], dtype=kind).tobytes()
+        kind = "<u2" if len(bpe.vocabulary(path).token) <= 1 << 16 else "<u4"
+        encode, end = bpe.encoder(path, kind), np.array([end_id], dtype=kind).tobytes()
         part, start, size = TaskContext.get().partitionId(), 0, int(kind[2])
         for b in batches:
-            ids = [b"".join(word(s) if s >= 0 else b"".join(map(memo.__getitem__, w)) for s, w in bpe.pieces(v, x)) + word(end_id) for x in b["text_"]]
+            ids = [encode(x) + end for x in b["text_"]]
             n = np.array([-(-len(x) // (size * length)) for x in ids], dtype=np.int64)
             yield pd.DataFrame({"part_": part, "start_": start + np.cumsum(n) - n, "n_": n, "key_": b["key_"].to_numpy(), "ids_": ids})
             start += int(n.sum())

@@ -512,10 +512,15 @@ def test_pipeline_stages_keep_columns(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
-def test_quick_merging_is_merging(path):
+def test_encoder_is_merging_and_the_library(path, library):
     v, rnd = bpe.vocabulary(path), random.Random(8)
-    quick = v.quick()
-    assert quick != v.merge
+    whole, encode = v.library(), bpe.encoder(path, "<u4")
+    assert whole
     for _ in range(3000):
         raw = bytes(rnd.choice(b" abcdetionghrs\xc3\xa9\xf0\x00") for _ in range(rnd.randint(1, 40)))
-        assert list(quick(raw)) == v.merge(raw)
+        assert list(whole._encode_single_piece(raw)) == v.merge(raw)
+    n = bpe.LIBRARY_CHARS
+    texts = ["", " " * n, " " * (n + 1), "\n" * n + "x", "a" * n, "a b" * n, "<|endoftext|> a<|endoftext|>", "\x85\xa0\x1c a\u3000b", "\u65e5\u672c" * n]
+    texts += ["".join(rnd.choice(" \n\t'ab1!\u00e9\u3000\U0001f600") for _ in range(rnd.randint(1, 60))) for _ in range(500)]
+    for x in texts:
+        assert encode(x) == np.array(library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
