@@ -232,9 +232,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     band = member.where("bands_ is not null").select("rep_", F.explode("bands_").alias("band_"))
     shared = written(band.groupBy("band_").agg(F.min("rep_").alias("lead_"), F.max("rep_").alias("last_")).where("lead_ < last_").select("band_", "lead_"), "buckets")
     bucket = written(band.join(shared, "band_"), "candidates")
-    vertices = bucket.select("rep_").distinct().join(member.where("bits_ is not null").select("rep_", "bits_"), "rep_").dropDuplicates(["rep_"]).withColumnRenamed("rep_", "key_")
+    vertices = bucket.select("rep_").distinct().join(member.where("bits_ is not null").select("rep_", "bits_", "bands_"), "rep_").dropDuplicates(["rep_"]).withColumnRenamed("rep_", "key_")
     vertices = written(vertices, "vertices")
-    texts = written(docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).join(vertices, "key_"), "texts")
+    texts = written(docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).join(vertices.select("key_"), "key_"), "texts")
 
     tried = written(bucket.where("lead_ < rep_").groupBy(F.col("rep_").alias("b")).agg(F.min("lead_").alias("a")).select("a", "b"), "pairs")
     links = written(verified(tried, texts, k, percent), "edges")
@@ -248,7 +248,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         lead = written(lead.select("band_", "low_", "lead_").join(vertices.select(F.col("key_").alias("lead_"), F.col("bits_").alias("b_bits")), "lead_"), "mixed")
         if lead.limit(1).count() == 0:
             break
-        known = placed.join(lead.select("band_"), "band_").join(vertices.withColumnRenamed("key_", "rep_"), "rep_")
+        sides = vertices.withColumnRenamed("key_", "rep_")
+        known = placed.join(lead.select("band_"), "band_").join(sides.drop("bands_") if turn < LEADER_ROUNDS else sides, "rep_")
         known = written(known, "apart")
         if turn < LEADER_ROUNDS:
             near = known.withColumnRenamed("bits_", "a_bits").join(lead.withColumnRenamed("band_", "at_"), (F.col("band_") == F.col("at_")) & (F.col("component") != F.col("low_")) & (apart("a_bits", "b_bits", words) <= most))
@@ -256,9 +257,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             near = near.groupBy("rep_", "low_").agg(F.min_by("lead_", F.struct(apart("a_bits", "b_bits", words), "lead_")).alias("lead_"))
             pairs = near.select(F.least("rep_", "lead_").alias("a"), F.greatest("rep_", "lead_").alias("b"))
         else:
-            one = known.select("band_", F.col("rep_").alias("a"), F.col("component").alias("ca"), F.col("bits_").alias("a_bits"))
-            two = known.select(F.col("band_").alias("at_"), F.col("rep_").alias("b"), F.col("component").alias("cb"), F.col("bits_").alias("b_bits"))
-            pairs = one.join(two, (F.col("band_") == F.col("at_")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart("a_bits", "b_bits", words) <= most)).select("a", "b")
+            one = known.select("band_", F.col("rep_").alias("a"), F.col("component").alias("ca"), F.col("bits_").alias("a_bits"), F.col("bands_").alias("a_bands"))
+            two = known.select(F.col("band_").alias("at_"), F.col("rep_").alias("b"), F.col("component").alias("cb"), F.col("bits_").alias("b_bits"), F.col("bands_").alias("b_bands"))
+            near = (F.col("band_") == F.col("at_")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart("a_bits", "b_bits", words) <= most)
+            # a pair is made in the least of the bands it shares, not in each of them
+            pairs = one.join(two, near & (F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("band_"))).select("a", "b")
         pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count() == 0:
             continue
