@@ -232,6 +232,12 @@ def _cleanup(s, d):
     return r.select("o_orderkey", F.when(F.col("o_orderkey") % 12 == 11, F.col("cells")[3]).otherwise(F.col("cells")[1]).alias("cell"))
 
 
+@query("cell_cleanup_whole", "SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN 'pay' || chr(10) || 'ment' WHEN 1 THEN 'both' WHEN 2 THEN 'ab' WHEN 3 THEN 'wide' WHEN 4 THEN 'goes on' WHEN 5 THEN '.' WHEN 6 THEN 'balance only' WHEN 7 THEN 'no balance' WHEN 8 THEN 'zero' WHEN 9 THEN 'words' WHEN 11 THEN '1234.50' END AS cell FROM orders")
+def _cleanup_whole(s, d):
+    r = _raw_rows(s, d).withColumn("cells", rows.repaired(F.col("cells"), 5))
+    return r.select("o_orderkey", F.when(F.col("o_orderkey") % 12 == 11, F.col("cells")[3]).otherwise(F.col("cells")[1]).alias("cell"))
+
+
 @query("balance_suffix", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN 'abc' ELSE CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) END AS balance FROM orders")
 def _suffix(s, d):
     v = F.col("o_totalprice").cast("decimal(15,2)").cast("string")
@@ -270,14 +276,24 @@ def _stitch(s, d):
 # -- reconciliation ------------------------------------------------------------------------------------------------------
 
 
-@query("column_comma_fix", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS v FROM lineitem WHERE l_orderkey % 50 = 0")
-def _comma(s, d):
+def _mixed_commas(lines: DataFrame) -> DataFrame:
+    """Amounts of lineitem rows, by turns with a dot and a comma within a supplier, through the repair."""
     v = F.col("l_extendedprice").cast("decimal(15,2)").cast("string")
-    r = read(s, d, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("file"), v.alias("x"), F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")).alias("n"))
+    r = lines.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("file"), v.alias("x"), F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice")).alias("n"))
     r = r.withColumn("v", F.when(F.col("n") % 2 == 0, F.replace("x", F.lit("."), F.lit(","))).otherwise(F.col("x")))
     return reconcile.comma_to_dot(r, "v").select("l_orderkey", "l_linenumber", "v")
 
 
+@query("column_comma_fix", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS v FROM lineitem WHERE l_orderkey % 50 = 0")
+def _comma(s, d):
+    return _mixed_commas(read(s, d, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+@query("column_comma_fix_whole", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS v FROM lineitem")
+def _comma_whole(s, d):
+    return _mixed_commas(read(s, d, "lineitem"))
+
+
 @query("debit_sign_flip", "SELECT event_id, CASE WHEN n > 1 AND p = 0 THEN abs(v) ELSE v END AS debit FROM (SELECT event_id, v, count(CASE WHEN v <> 0 THEN 1 END) OVER (PARTITION BY user_id) AS n, count(CASE WHEN v > 0 THEN 1 END) OVER (PARTITION BY user_id) AS p FROM (SELECT event_id, user_id, CASE WHEN user_id % 2 = 0 THEN -value ELSE value END AS v FROM events))")
 def _flip(s, d):
     v = F.when(F.col("user_id") % 2 == 0, -F.col("value")).otherwise(F.col("value")).cast("string")

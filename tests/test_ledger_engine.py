@@ -40,6 +40,11 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted((tuple(map(plain, x)) for x in df.collect()), key=repr) == want
 
 
+@pytest.mark.parametrize(("name", "table"), [("column_comma_fix_whole", "lineitem"), ("cell_cleanup_whole", "orders")])
+def test_every_row_is_repaired(spark, name, table):
+    assert registry.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
 def column(spark, f, values, kind="string"):
     df = spark.createDataFrame(list(enumerate(values)), f"i int, v {kind}")
     return [r[0] for r in df.orderBy("i").select(f(F.col("v")).alias("x")).collect()]
