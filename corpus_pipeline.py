@@ -18,7 +18,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of shared passages are cut out; a document of which nothing is left goes."""
-    out = line_dedup.dedup_lines(docs, dropped="lines_dropped_")
+    out = line_dedup.dedup_lines(docs, dropped="lines_dropped_", everywhere=True)
     left = out.where((F.col("lines_dropped_") == 0) | F.col("text").isNull() | (F.trim("text") != ""))
     return left.withColumn("n_chars", F.when(F.col("lines_dropped_") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -6,8 +6,14 @@ rarest lines first in the sense that a line held by one document finds nothing a
 only; so the pairs of a document are at most its lines, whatever the size of a group of copies, and every line that
 occurs in an earlier document is held against the document where it first occurs. Patience diff takes the lines unique
 in both documents, keeps the longest run of them in equal order, and grows blocks of equal lines from these; between
-two blocks it starts again. A run of aligned lines of the later document (over all its pairs) that has at least
-``block_words`` words goes. What moves are hashes of lines, not texts.
+two blocks it starts again.
+
+What that leaves out, since it holds a line against one document only and takes lines that are unique in both, is found
+exactly with ``everywhere``: from every line on that isn't blank, the shortest stretch of lines of at least ``block_words`` words is known
+by a hash (blank lines play no part). Equal stretches start equal repeats, so a stretch whose hash has an owner of a
+smaller key is a repeat, in whatever earlier document, however often and in whatever order it stands there or here;
+every repeat of that many words is covered by its stretches. A run of lines of the later document, aligned or in such a
+stretch, that has at least ``block_words`` words goes. What moves are hashes, not texts.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +98,34 @@ def blocks(aligned: set[int], words: list[int], least: int) -> list[bool]:
     return stays
 
 
-def line_marks(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: Multiplier of the stretches' hashes and its inverse, modulo 2^64.
+BASE = 0x9E3779B97F4A7C13
+BACK = pow(BASE, -1, 1 << 64)
+
+
+def powers(x: int, n: int) -> np.ndarray:
+    out = np.full(n, x, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def stretches(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, last line, hash) of the shortest stretch of ``least`` words from each line that isn't blank."""
+    at = np.flatnonzero(words)
+    upto = np.concatenate([[0], np.cumsum(words[at])])
+    end = np.searchsorted(upto, upto[:-1] + least)
+    n = int((end < len(upto)).sum())
+    start, end = np.arange(n), end[:n]
+    if not n:
+        return start, end, np.empty(0, np.int64)
+    x = hashes[at].astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * powers(BASE, len(x)), dtype=np.uint64)])
+        h = (total[end] - total[start]) * powers(BACK, len(x))[start] + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    return at[start], at[end - 1], h.view(np.int64)
+
+
+def line_marks(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, key: str = "doc_id", text: str = "text", everywhere: bool = False) -> DataFrame:
     """(key_, text_hash_, stays_ array<boolean>) for the documents that lose a line, a value for each line."""
     held = written(line_hashes(docs, key, text).distinct(), "lines")
     lines = held.select("key_", "text_hash_", F.explode(F.filter(F.arrays_zip("h_", "w_"), lambda x: x["w_"] >= min_words)).alias("x_")).select("key_", "text_hash_", F.col("x_.h_").alias("line_"))
@@ -102,27 +136,52 @@ def line_marks(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = B
         for b in batches:
             yield b[["key_", "text_hash_"]].assign(at_=[[j for _, j in patience(list(x), list(y))] for x, y in zip(b["a_"], b["b_"], strict=True)])
 
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [stretches(np.asarray(h), np.asarray(w), block_words) for h, w in zip(b["h_"], b["w_"], strict=True)]
+            n = [len(x) for x, _, _ in found]
+            if sum(n):
+                yield pd.DataFrame({"key_": np.repeat(b["key_"].to_numpy(), n), "text_hash_": np.repeat(b["text_hash_"].to_numpy(), n), "start_": np.concatenate([x for x, _, _ in found]), "stretch_": np.concatenate([x for _, _, x in found])})
+
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            stays = [blocks({int(i) for part in a for i in part}, list(map(int, w)), block_words) for a, w in zip(b["at_"], b["w_"], strict=True)]
+            stays = []
+            for a, more, w in zip(b["at_"], b["starts_"], b["w_"], strict=True):
+                w, gone = np.asarray(w), {int(i) for part in a for i in part}
+                first = {int(i) for i in more}
+                for i, j, _ in zip(*stretches(w, w, block_words)) if first else ():
+                    if i in first:
+                        gone.update(range(i, j + 1))
+                stays.append(blocks(gone, w.tolist(), block_words))
             b = b[["key_", "text_hash_"]].assign(stays_=stays)
             yield b[[not all(x) for x in stays]]
 
     sides = pairs.join(held.select("key_", "text_hash_", F.col("h_").alias("b_")), ["key_", "text_hash_"]).join(held.select(F.col("key_").alias("origin_"), F.col("h_").alias("a_")), "origin_")
     found = sides.select("key_", "text_hash_", "a_", "b_").mapInPandas(align, "key_ long, text_hash_ long, at_ array<int>").where("size(at_) > 0")
-    each = found.groupBy("key_", "text_hash_").agg(F.collect_list("at_").alias("at_"))
-    return each.join(held.select("key_", "text_hash_", "w_"), ["key_", "text_hash_"]).mapInPandas(choose, "key_ long, text_hash_ long, stays_ array<boolean>")
+    each = written(found.groupBy("key_", "text_hash_").agg(F.collect_list("at_").alias("at_")), "aligned")
+    if not everywhere:
+        each = each.withColumn("starts_", F.array().cast("array<int>"))
+        return each.join(held.select("key_", "text_hash_", "w_"), ["key_", "text_hash_"]).mapInPandas(choose, "key_ long, text_hash_ long, stays_ array<boolean>")
+
+    all_ = written(held.mapInPandas(starts, "key_ long, text_hash_ long, start_ int, stretch_ long"), "stretches")
+    owner = all_.groupBy("stretch_").agg(F.min("key_").alias("owner_"), F.max("key_").alias("last_")).where("owner_ < last_").select("stretch_", "owner_")
+    repeats = all_.join(written(owner, "owners"), "stretch_").where("key_ > owner_").groupBy("key_", "text_hash_").agg(F.collect_list("start_").alias("starts_"))
+
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind)).alias(c)
+    marked = each.join(repeats, ["key_", "text_hash_"], "full").select("key_", "text_hash_", none("at_", "array<array<int>>"), none("starts_", "array<int>"))
+    return marked.join(held.select("key_", "text_hash_", "w_"), ["key_", "text_hash_"]).mapInPandas(choose, "key_ long, text_hash_ long, stays_ array<boolean>")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, key: str = "doc_id", text: str = "text", dropped: str = "lines_dropped") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, key: str = "doc_id", text: str = "text", dropped: str = "lines_dropped", everywhere: bool = False) -> DataFrame:
     """``docs`` with the aligned blocks gone from the later documents' texts; all columns stay, and ``dropped`` counts lines.
 
     A block is a run of aligned lines (blank lines within it included) of at least ``block_words`` words; it goes with
-    its line breaks. The document of the smallest key keeps its lines. Rows with a null key or text, empty texts and
+    its line breaks. With ``everywhere``, lines of a stretch of that many words that stands in any earlier document count
+    as aligned too. The document of the smallest key keeps its lines. Rows with a null key or text, empty texts and
     an empty table stay as they are; a document of which every line goes is left with an empty text; equal rows share
     one fate. Values of other columns, such as a number of characters, aren't adjusted.
     """
-    marks = written(line_marks(docs, min_words, block_words, key, text), "marks")
+    marks = written(line_marks(docs, min_words, block_words, key, text, everywhere), "marks")
     mine = docs.withColumn("text_hash_", F.xxhash64(F.col(text))).withColumn("key_", F.col(key).cast("long"))
     out = mine.join(marks, ["key_", "text_hash_"], "left")
     left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: F.get(F.col("stays_"), i)), "\n")

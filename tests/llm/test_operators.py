@@ -313,6 +313,47 @@ def test_line_dedup_against_brute_force(spark):
     assert sum(t != texts[k] for k, t in want.items()) > 5
 
 
+def brute_repeats(texts, least):
+    """Lines of stretches of ``least`` words that stand in any earlier document, by trying all pairs of places."""
+    count = lambda x: len([w for w in x.split(" ") if w])
+    lines = {k: [(i, x.strip(" ")) for i, x in enumerate(t.split("\n")) if count(x)] for k, t in texts.items()}
+    gone = {k: set() for k in texts}
+    for k, mine in lines.items():
+        for other in (v for o, v in lines.items() if o < k):
+            for i in range(len(mine)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(mine) and j + n < len(other) and mine[i + n][1] == other[j + n][1]:
+                        n += 1
+                    if sum(count(x) for _, x in mine[i : i + n]) >= least:
+                        gone[k] |= {at for at, _ in mine[i : i + n]}
+    return gone
+
+
+def test_every_repeat_of_an_earlier_document_goes(spark):
+    rnd = random.Random(6)
+    line = lambda *_: " ".join(f"x{rnd.randrange(10**6)}" for _ in range(6))
+    p, q, r = ([line() for _ in range(4)] for _ in range(3))
+    own = lambda: [line(), line()]
+    texts = {
+        0: [*p, *own(), *p], 1: [*own(), *p], 2: [*p, *own()],  # the first holder has it twice
+        10: [*own(), *q], 11: [*q, *own(), *q],  # a later document has it twice
+        20: [*r, *own()], 21: [*r, *own(), *q[:2], "", *q[2:], *r],  # in another order, with another line between
+    }
+    pool = [line()[: rnd.choice([7, 15, 30])].strip() for _ in range(12)]
+    texts |= {k: [rnd.choice(pool) for _ in range(rnd.randint(0, 25))] for k in range(30, 60)}
+    texts = {k: "\n".join(x) for k, x in texts.items()}
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], DOCS)
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(df, min_words=3, block_words=10, everywhere=True).collect()}
+    assert got[0] == texts[0] and not any(x in got[k] for k, x in [(1, p[0]), (2, p[3]), (11, q[0]), (21, q[3]), (21, r[0])])
+    trimmed = {k: t.split("\n") for k, t in texts.items()}
+    for k, gone in brute_repeats(texts, 10).items():
+        origins = {min(o for o in trimmed if x in trimmed[o]) for x in trimmed[k] if len(x.split()) >= 3}
+        aligned = {j for o in origins if o < k for _, j in line_dedup.patience(trimmed[o], trimmed[k])}
+        stays = line_dedup.blocks(aligned | gone, [len(x.split()) for x in trimmed[k]], 10)
+        assert got[k] == "\n".join(x for x, s in zip(trimmed[k], stays, strict=True) if s), k
+
+
 # -- vectors -------------------------------------------------------------------------------------------------------
 
 
