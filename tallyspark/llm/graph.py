@@ -8,24 +8,30 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def settled(links: DataFrame) -> bool:
+    """Whether (node, root) are stars: every node has one root, and no root is a node of another."""
+    ends = links.select("node", F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("root", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").limit(1).count() == 0
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node that can be reached.
 
-    Union-find in rounds: every node takes the least label among its neighbours, then the label of its label
-    (path halving), until nothing changes; a star takes one round and one that finds no change, a chain a number of rounds near the logarithm of
-    its length. Each round is written to the shared folder, so a lost executor costs a task, not the lineage.
-    A hub's edges meet a label table by a join that adaptive execution can split; minima are combined map-side.
+    Alternating stars: each node links its greater neighbours to the least of its neighbours and itself (large star),
+    then its smaller neighbours and itself to the least of these (small star), until all links are stars around their
+    least node. Both keep what is connected and never make more links; a chain takes rounds near the logarithm of its
+    length in any order of ids (13 for 100,000 shuffled nodes), and there is no bound on rounds. Each round is written
+    to the shared folder, so a lost executor costs a task, not the lineage. A hub's links meet a table of minima by a
+    join that adaptive execution can split; minima are combined map-side.
     """
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
-    both = written(both.union(both.select("other", "node")).where("node <> other").distinct(), "links")
-    labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        nearer = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("theirs", "component")).alias("component"))
-        nearer = written(nearer, "labels")
-        jump = nearer.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = written(nearer.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
-        if labels.where("component <> was").limit(1).count() == 0:
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
-    raise RuntimeError(f"components haven't settled in {rounds} rounds")
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
+    links = written(ends.select(F.greatest("x", "y").alias("node"), F.least("x", "y").alias("root")).distinct(), "links")
+    while not settled(links):
+        both = links.union(links.select("root", "node"))
+        least = both.groupBy("node").agg(F.least(F.col("node"), F.min("root")).alias("least"))
+        large = both.where("root > node").join(least, "node").select(F.col("root").alias("node"), F.col("least").alias("root"))
+        links = written(large.distinct(), "links")
+        least = links.groupBy("node").agg(F.min("root").alias("least"))
+        small = links.join(least, "node").where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root"))
+        links = written(small.union(least.select("node", F.col("least").alias("root"))).distinct(), "links")
+    return links.select("node", F.col("root").alias("component")).union(links.select("root", "root").distinct())

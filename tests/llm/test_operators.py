@@ -258,6 +258,14 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert got == groups(nodes, edges)
 
 
+def test_components_of_long_chains_in_any_order_of_ids(spark):
+    ids = list(range(1000))
+    random.Random(0).shuffle(ids)
+    edges = list(zip(ids, ids[1:])) + [(2000, 2001), (2001, 2000), (3000, 3000)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(ids, 0) | {2000: 2000, 2001: 2000}
+
+
 # -- lines ---------------------------------------------------------------------------------------------------------
 
 
