@@ -262,7 +262,8 @@ WINDOW = 1 << 16
 def words(v: Vocabulary, chunks: Iterable[str]) -> Iterator[tuple[str, bool]]:
     """Splits a text that arrives in chunks: (part of a word, whether the word ends with it).
 
-    All words but the last of what is held are settled, since the pattern looks one character past a word's end. A
+    All words but the last of what is held are settled, since the pattern looks one character past a word's end; only
+    an apostrophe before a last l, r or v may still become 'll, 're or 've, so it waits too. A
     last word over a window long is handed on in parts while its run of letters, digits or signs goes on; of a run of
     white space, only the last character can still change sides, so the rest waits as a count-free buffer of at most
     the run itself.
@@ -281,10 +282,11 @@ def words(v: Vocabulary, chunks: Iterable[str]) -> Iterator[tuple[str, bool]]:
         found = list(v.split.finditer(held))
         if not found:
             continue
-        for m in found[:-1]:
+        open_ = 2 if len(found) > 1 and found[-2][0] == "'" and found[-1][0] in ("l", "r", "v") else 1
+        for m in found[:-open_]:
             yield m[0], True
         last = found[-1][0]
-        held = last
+        held = held[found[-open_].start() :]
         if len(last) >= WINDOW and not last.isspace():
             c = last[-1]
             run = RUNS["L" if regex.match(r"\p{L}", c) else "N" if regex.match(r"\p{N}", c) else "O"]

@@ -91,6 +91,16 @@ def test_transducer_and_stream_in_any_portions(path, library):
         assert list(bpe.stream_ids(v, look, (text[i : i + n] for i in range(0, len(text), n)))) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_stream_split_anywhere_in_contractions(path, library):
+    v, look = bpe.vocabulary(path), bpe.lookahead(path)
+    tails = ["'ll", "'re", "'ve", "'s", "'d", "'m", "'t", "'lx", "'r", "'v", "''ll", " 'll", "!'ve", "'LL", "1're"]
+    for text in [f"we{t}{end}" for t in tails for end in (" go", "", "x", "\n")]:
+        want = library.encode(text, add_special_tokens=False).ids
+        for i in range(len(text) + 1):
+            assert list(bpe.stream_ids(v, look, [text[:i], text[i:]])) == want, (text, i)
+        assert list(bpe.stream_ids(v, look, text)) == want, text
+
+
 def test_decoder_takes_single_ids_and_bad_bytes(path, library):
     v = bpe.vocabulary(path)
     rnd = random.Random(5)
