@@ -1,6 +1,8 @@
 """Licence scan: a trained paragraph classifier, calibrated, with template comparison; DataFrame functions only.
 
-Paragraphs are lines of a text. The classifier is a sparse multinomial logistic regression over word 1- to 3-grams,
+Paragraphs are lines of a text, and stretches that run over a line break within a run of lines that aren't blank: around
+each break the ``REACH`` words before it in its line and after it in the run are searched for stretches that hold most of the
+words of a template; these are classified and confirmed as lines are. The classifier is a sparse multinomial logistic regression over word 1- to 3-grams,
 fitted by proximal gradient steps on the fixed notices below (and on counter-examples that use their words
 otherwise); its L1 penalty leaves a short table of weights. Class 0 is "unknown"; a temperature chosen on held-out
 variants calibrates the chances. A line gets a family if its chance is over one half, and is confirmed if it holds
@@ -11,6 +13,7 @@ done once on the driver; scoring is SQL: explode, a join with the weight table (
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import defaultdict
 from functools import lru_cache
@@ -129,6 +132,8 @@ OTHERS = [
 FUNCTION_WORDS = set("a all an and any are as at be by for from has in is it its may no not of on or our that the this to was we will with you your".split())
 
 L1, STEPS, CERTAIN, CONFIRMED = 2e-4, 600, 0.5, 0.6
+#: Words on each side of a line break; no notice above has more.
+REACH = 40
 
 
 def words(line: str) -> list[str]:
@@ -194,6 +199,7 @@ class Model:
         self.weights = {g: w[i].tolist() for g, i in at.items() if np.abs(w[i]).max() > 0}
         self.anchors = sorted({x for g in self.weights for x in g.split()} - FUNCTION_WORDS)
         self.templates = [(f, sorted(set(words(t)))) for f, texts in NOTICES.items() for t in texts]
+        self.lengths = [(sorted(set(words(t))), len(words(t))) for texts in NOTICES.values() for t in texts]
 
 
 @lru_cache(maxsize=1)
@@ -208,11 +214,50 @@ def literal_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in schema.split(', '))}>>")).alias("x")).select("x.*")
 
 
+def normal(line):
+    """Column: the words of a line; [''] if it has none."""
+    return F.split(F.trim(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " ")), " ")
+
+
+def rare_words() -> list[str]:
+    """Words of which a text that holds CONFIRMED of some template's words has at least one."""
+    out = set()
+    for _, t in model().templates:
+        out |= set(sorted(t, key=lambda x: (x in FUNCTION_WORDS, -len(x), x))[: len(t) - math.ceil(CONFIRMED * len(t) - 1e-9) + 1])
+    return sorted(out)
+
+
 def licence_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key_, text_hash_, line_, family, chance, confirmed): the lines that the classifier takes for a licence notice."""
-    m, spark = model(), docs.sparkSession
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key_"), F.xxhash64(F.col(text)).alias("text_hash_"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_", "l_"))
-    split = rows.select("key_", "text_hash_", "line_", F.split(F.trim(F.regexp_replace(F.lower("l_"), "[^a-z0-9]+", " ")), " ").alias("w_"))
+    return classified(rows.select("key_", "text_hash_", "line_", normal(F.col("l_")).alias("w_")))
+
+
+def wrapped_notices(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key_, text_hash_, break_, family): line breaks, by the number of the line before, that a confirmed notice runs over."""
+    rows = docs.where(F.contains(F.col(text), F.lit("\n"))).select(F.col(key).alias("key_"), F.xxhash64(F.col(text)).alias("text_hash_"), F.transform(F.split(F.col(text), "\n", -1), normal).alias("l_"))
+    ends = rows.select("key_", "text_hash_", F.transform("l_", lambda x: F.slice(x, F.greatest(F.size(x) - REACH + 1, F.lit(1)), REACH)).alias("tail_"), F.transform("l_", lambda x: F.slice(x, 1, REACH)).alias("head_"))
+    near = F.transform("tail_", lambda x, i: F.struct(x.alias("a"), F.slice("head_", i + 2, REACH).alias("b")))
+    each = ends.select("key_", "text_hash_", F.posexplode(near).alias("break_", "x_")).select("key_", "text_hash_", "break_", F.col("x_.a").alias("a_"), F.col("x_.b").alias("b_"))
+    blank = F.array_position("b_", F.array(F.lit("")))
+    run = F.slice(F.flatten(F.when(blank > 0, F.slice("b_", F.lit(1), (blank - 1).cast("int"))).otherwise(F.col("b_"))), 1, REACH)
+    each = each.where(F.col("a_")[0] != "").select("key_", "text_hash_", "break_", F.size("a_").alias("n_"), F.concat("a_", run).alias("x_")).where(F.size("x_") > F.col("n_"))
+    each = each.where(F.arrays_overlap("x_", F.array(*map(F.lit, rare_words()))))
+    # stretches of a template's length and a half, the fullest one for each template
+    templates = literal_table(docs.sparkSession, [[i, w, math.ceil(1.5 * n)] for i, (w, n) in enumerate(model().lengths)], "t_ int, words_ array<string>, long_ int")
+    most = F.size("words_") * CONFIRMED
+    some = each.join(F.broadcast(templates), F.size(F.array_intersect("x_", "words_")) >= most)
+    starts = F.sequence(F.greatest(F.lit(1), F.col("n_") - F.col("long_") + 2), F.col("n_"))
+    held = F.array_max(F.transform(starts, lambda i: F.struct(F.size(F.array_intersect(F.slice("x_", i, F.col("long_")), "words_")).alias("held"), (-i).alias("at"))))
+    some = some.withColumn("best_", held).where(F.col("best_.held") >= most)
+    w = F.slice("x_", -F.col("best_.at"), F.col("long_"))
+    found = classified(some.select("key_", "text_hash_", (F.col("break_").cast("long") * 1000 + F.col("t_")).alias("line_"), w.alias("w_")))
+    return found.where("confirmed").select("key_", "text_hash_", F.floor(F.col("line_") / 1000).cast("int").alias("break_"), "family").distinct()
+
+
+def classified(split: DataFrame) -> DataFrame:
+    """Those rows (key_, text_hash_, line_, w_) whose words the classifier takes for a notice: family, chance, confirmed."""
+    m, spark = model(), split.sparkSession
     near = split.where(F.arrays_overlap("w_", F.array(*map(F.lit, m.anchors)))).distinct()
     n = F.size("w_")
 
@@ -238,14 +283,26 @@ def licence_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def licence_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_notices, families, n_unconfirmed) for every row of ``docs``; other columns play no part.
 
-    n_notices counts lines with a confirmed family, families lists these sorted and joined by commas ('' for none),
-    n_unconfirmed counts lines whose predicted family no template bears out. Null and empty texts have none. Repeated
+    n_notices counts lines with a confirmed family and, besides these, confirmed notices over line breaks (of one family at
+    successive breaks one), families lists these sorted and joined by commas ('' for none),
+    n_unconfirmed counts lines whose predicted family no template bears out and that
+    no such notice of the family runs through. Null and empty texts have none. Repeated
     rows are returned each with the same values, null keys too; an empty table gives an empty one.
     """
-    found = licence_lines(docs, key, text).groupBy("key_", "text_hash_").agg(
-        F.sum(F.col("confirmed").cast("long")).alias("n_"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("f_"),
-        F.sum((~F.col("confirmed")).cast("long")).alias("u_"),
+    lines = licence_lines(docs, key, text).select("key_", "text_hash_", "family", F.when(F.col("confirmed"), F.col("line_")).alias("sure_"), F.when(~F.col("confirmed"), F.col("line_")).alias("unsure_"), F.lit(None).cast("int").alias("break_"))
+    none = F.lit(None).cast("int")
+    each = lines.unionByName(wrapped_notices(docs, key, text).select("key_", "text_hash_", "family", none.alias("sure_"), none.alias("unsure_"), "break_"))
+    each = each.groupBy("key_", "text_hash_", "family").agg(*(F.collect_set(c).alias(c) for c in ("sure_", "unsure_", "break_")))
+    own = F.filter("break_", lambda i: ~F.array_contains("sure_", i) & ~F.array_contains("sure_", i + 1))
+    each = each.withColumn("own_", own).select(
+        "key_", "text_hash_", "family",
+        (F.size("sure_") + F.size(F.filter("own_", lambda i: ~F.array_contains("own_", i - 1)))).alias("sure_"),
+        F.size(F.filter("unsure_", lambda i: ~F.array_contains("break_", i) & ~F.array_contains("break_", i - 1))).alias("unsure_"),
+    )
+    found = each.groupBy("key_", "text_hash_").agg(
+        F.sum(F.col("sure_").cast("long")).alias("n_"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("sure_") > 0, F.col("family")))), ",").alias("f_"),
+        F.sum(F.col("unsure_").cast("long")).alias("u_"),
     )
     rows = docs.select(F.col(key).alias("k_"), F.xxhash64(F.col(text)).alias("t_"))
     out = rows.join(found, F.col("k_").eqNullSafe(F.col("key_")) & (F.col("t_") == F.col("text_hash_")), "left")

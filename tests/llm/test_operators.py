@@ -490,6 +490,18 @@ def test_licence_lines(spark):
         assert (r["families"], r["n_notices"]) == (want, len([x for x in want.split(",") if x])), r
 
 
+def test_licence_notices_over_several_lines(spark):
+    import textwrap
+
+    mit, gpl = licence_scan.NOTICES["mit"][3], licence_scan.NOTICES["gpl"][1]
+    bsd = "Redistributions and use in both source and binary forms, with or without any modification, are permitted only provided that these following conditions are met"
+    cases = {0: (mit, "mit"), 1: (gpl, "gpl"), 2: (bsd, "bsd"), 3: ("The license plate fell off. He gave permission to enter the library of the software house.", "")}
+    rows = [(10 * k + n, textwrap.fill("x y. " + t, width), f) for k, (t, f) in cases.items() for n, width in enumerate((30, 72))]
+    got = {r["doc_id"]: r for r in licence_scan.licence_scan(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect()}
+    for k, t, f in rows:
+        assert (got[k]["families"], got[k]["n_notices"]) == (f, int(f != "")), (t, got[k])
+
+
 def test_licence_scores_match_plain_sums(spark):
     m = licence_scan.model()
     lines = [t for texts in licence_scan.NOTICES.values() for t in texts] + licence_scan.OTHERS
