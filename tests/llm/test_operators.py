@@ -279,22 +279,6 @@ def test_components_of_long_chains_in_any_order_of_ids(spark):
 # -- lines ---------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(texts, min_words, block_words):
-    """Every document against the first holder of each of its lines, with difflib-free patience on the texts' lines."""
-    trimmed = {k: [x.strip(" ") for x in t.split("\n")] for k, t in texts.items() if t is not None}
-    count = lambda x: len([w for w in x.split(" ") if w])
-    out = {}
-    for k, lines in trimmed.items():
-        origins = {min(o for o, other in trimmed.items() if x in other) for x in lines if count(x) >= min_words}
-        aligned = set()
-        for o in origins - {k}:
-            if o < k:
-                aligned |= {j for _, j in line_dedup.patience(trimmed[o], lines)}
-        stays = line_dedup.blocks(aligned, [count(x) for x in lines], block_words)
-        out[k] = "\n".join(x for x, s in zip(texts[k].split("\n"), stays, strict=True) if s)
-    return out
-
-
 def test_patience_is_a_common_subsequence_with_all_unique_runs():
     assert line_dedup.patience([1, 2, 3], [1, 2, 3]) == [(0, 0), (1, 1), (2, 2)]
     assert line_dedup.patience([9, 1, 2, 3, 8], [1, 2, 3]) == [(1, 0), (2, 1), (3, 2)]
@@ -307,36 +291,13 @@ def test_patience_is_a_common_subsequence_with_all_unique_runs():
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
 
 
-def test_line_dedup_against_brute_force(spark):
-    rnd = random.Random(4)
-    pool = [" ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rnd.randrange(50)) for _ in range(rnd.choice([1, 3, 6, 9]))) for _ in range(60)]
-    passage = pool[:5]
-    texts = {}
-    for i in range(40):
-        lines = [rnd.choice(pool) for _ in range(rnd.randint(0, 8))]
-        if i % 3 == 0:
-            at = rnd.randint(0, len(lines))
-            lines[at:at] = [passage[0], "", *passage[1:]]
-        texts[i] = "\n".join(lines)
-    texts |= {50: texts[0], 51: texts[0], 52: "", 53: None, 54: "\n\n", 55: "\n".join(["same line of several words here"] * 9), 56: "\n".join(["same line of several words here"] * 9), 57: LONG}
-    rows = [(i, t, "en", "s", 0) for i, t in texts.items()] + [(None, texts[0], "en", "s", 0), (51, texts[51], "en", "s", 0)]
-    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as key_x", "2 as origin_")
-    out = line_dedup.dedup_lines(df, min_words=3, block_words=10)
-    assert out.columns == [*df.columns, "lines_dropped"]
-    want, got = brute_lines({k: t for k, t in texts.items()}, 3, 10), out.collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert r["text"] == (texts[0] if r["doc_id"] is None else want.get(r["doc_id"])), r["doc_id"]
-    assert next(r for r in got if r["doc_id"] == 50)["text"] == ""
-    assert sum(t != texts[k] for k, t in want.items()) > 5
-
-
-def brute_repeats(texts, least):
-    """Lines of stretches of ``least`` words that stand in any earlier document, by trying all pairs of places."""
+def brute_common_blocks(texts, least):
+    """Texts without the lines of runs of ``least`` words that stand in any earlier text, by trying all pairs of places."""
     count = lambda x: len([w for w in x.split(" ") if w])
-    lines = {k: [(i, x.strip(" ")) for i, x in enumerate(t.split("\n")) if count(x)] for k, t in texts.items()}
-    gone = {k: set() for k in texts}
+    lines = {k: [(i, x.strip(" ")) for i, x in enumerate(t.split("\n")) if count(x)] for k, t in texts.items() if t is not None}
+    out = dict(texts)
     for k, mine in lines.items():
+        gone = set()
         for other in (v for o, v in lines.items() if o < k):
             for i in range(len(mine)):
                 for j in range(len(other)):
@@ -344,8 +305,47 @@ def brute_repeats(texts, least):
                     while i + n < len(mine) and j + n < len(other) and mine[i + n][1] == other[j + n][1]:
                         n += 1
                     if sum(count(x) for _, x in mine[i : i + n]) >= least:
-                        gone[k] |= {at for at, _ in mine[i : i + n]}
-    return gone
+                        gone |= set(range(mine[i][0], mine[i + n - 1][0] + 1))
+        out[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("rare", [2, 8])
+def test_line_dedup_against_brute_force(spark, rare):
+    rnd = random.Random(4)
+    pool = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([1, 2, 3, 5, 12, 22]))) for _ in range(25)]
+    texts = {}
+    for i in range(60):
+        lines = [rnd.choice([*pool, ""]) for _ in range(rnd.randint(0, 12))]
+        if i % 4 == 0:
+            lines[1:1] = pool[3:8]
+        texts[i] = "\n".join(lines)
+    texts |= {80: texts[8], 81: texts[8], 82: "", 83: None, 84: "\n\n", 85: "\n".join(["same line of several words here"] * 9), 86: "\n".join(["same line of several words here"] * 9), 87: LONG}
+    rows = [(i, t, "en", "s", 0) for i, t in texts.items()] + [(None, texts[0], "en", "s", 0), (81, texts[81], "en", "s", 0)]
+    clash = ("key_", "text_hash_", "stays_", "left_", "gone_", "piece_", "bits_", "at_", "h", "x_")
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", *(f"{n} as {c}" for n, c in enumerate(clash)))
+    out = line_dedup.dedup_lines(df, min_words=2, block_words=20, rare=rare)
+    assert out.columns == [*df.columns, "lines_dropped"]
+    assert line_dedup.dedup_lines(out, min_words=2, block_words=20).columns == out.columns
+    want, got = brute_common_blocks(texts, 20), out.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["text"] == (texts[0] if r["doc_id"] is None else want[r["doc_id"]]), r["doc_id"]
+        assert [r[c] for c in clash] == list(range(len(clash)))
+        assert r["doc_id"] is None or r["lines_dropped"] == 0 or r["text"] != texts[r["doc_id"]]
+    assert next(r for r in got if r["doc_id"] == 81)["text"] == want[81] != texts[81]
+    assert sum(t != texts[k] for k, t in want.items()) > 20
+
+
+def test_blocks_are_judged_in_each_pair(spark):
+    """Four lines of four documents make no block; copies are held against each other, not only against a line's first holder."""
+    line = [f"the {w} line has seven words here" for w in ("first", "second", "third", "fourth")]
+    apart = {n + 1: x for n, x in enumerate(line)} | {5: "\n".join(line)}
+    turned = {11: "\n".join(x + " too" for x in reversed(line)), 12: "\n".join(x + " too" for x in line), 13: "\n".join(x + " too" for x in line)}
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in (apart | turned).items()], DOCS)
+    for everywhere in (True, False):
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, everywhere=everywhere).collect()}
+        assert got == apart | turned | {13: ""}
 
 
 def test_every_repeat_of_an_earlier_document_goes(spark):
@@ -362,14 +362,9 @@ def test_every_repeat_of_an_earlier_document_goes(spark):
     texts |= {k: [rnd.choice(pool) for _ in range(rnd.randint(0, 25))] for k in range(30, 60)}
     texts = {k: "\n".join(x) for k, x in texts.items()}
     df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], DOCS)
-    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(df, min_words=3, block_words=10, everywhere=True).collect()}
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(df, min_words=3, block_words=10).collect()}
     assert got[0] == texts[0] and not any(x in got[k] for k, x in [(1, p[0]), (2, p[3]), (11, q[0]), (21, q[3]), (21, r[0])])
-    trimmed = {k: t.split("\n") for k, t in texts.items()}
-    for k, gone in brute_repeats(texts, 10).items():
-        origins = {min(o for o in trimmed if x in trimmed[o]) for x in trimmed[k] if len(x.split()) >= 3}
-        aligned = {j for o in origins if o < k for _, j in line_dedup.patience(trimmed[o], trimmed[k])}
-        stays = line_dedup.blocks(aligned | gone, [len(x.split()) for x in trimmed[k]], 10)
-        assert got[k] == "\n".join(x for x, s in zip(trimmed[k], stays, strict=True) if s), k
+    assert got == brute_common_blocks(texts, 10)
 
 
 # -- vectors -------------------------------------------------------------------------------------------------------
