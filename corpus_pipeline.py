@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import best_fit, bpe, line_dedup, minhash, quality
-from tallyspark.llm.common import table, written
+from tallyspark.llm.common import fresh, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +18,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of shared passages are cut out; a document of which nothing is left goes."""
-    out = line_dedup.dedup_lines(docs, dropped="lines_dropped_", everywhere=True)
-    left = out.where((F.col("lines_dropped_") == 0) | F.col("text").isNull() | (F.trim("text") != ""))
-    return left.withColumn("n_chars", F.when(F.col("lines_dropped_") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    (gone,) = fresh(docs, "lines_dropped_")
+    out = line_dedup.dedup_lines(docs, dropped=gone)
+    left = out.where((F.col(gone) == 0) | F.col("text").isNull() | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
