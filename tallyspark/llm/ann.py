@@ -1,11 +1,15 @@
 """Approximate nearest neighbours: a forest of random-projection trees searched through one shared priority queue.
 
-The trees are fitted on a bounded sample; every vector is then sent down every tree to its leaf. A query takes the
-leaves of all trees in one order, by the least margin to a hyperplane on the way down, until it has ``probes`` of
-them; all vectors of those leaves are measured exactly in double precision. How many leaves that takes depends on the data, so
-it is measured: for a fixed number of trial queries the true neighbours are found by brute force, each one's first
-leaf in the queue's order is looked up, and ``probes`` becomes the least number that reaches ``RECALL``. Equal vectors are one point that keeps its
-k + 1 smallest ids (no answer can need more), so a vector that a third of the rows share is one row of one leaf.
+The trees are fitted on a bounded sample; every vector is then sent down every tree, and carries its leaves. A query
+takes the leaves of all trees in one order: by the sum of its distances to the hyperplanes that part it from the leaf.
+It takes those up to ``reach``; all vectors of these leaves are measured exactly in double precision, each once,
+however many trees hold it. How far that must be depends on the data, so it is measured: for a fixed number of trial
+queries the true neighbours are found by brute force in one scan, the least priority that any tree gives to each is
+looked up, and ``reach`` becomes the least value that takes in the share ``RECALL``. Equal vectors are one point that keeps its
+k + 1 smallest ids (no answer can need more), so a vector that a third of the rows share is one row.
+
+Vectors and queries meet in blocks. A block holds vectors that lie together in the first tree, and each vector is in
+one block; blocks of both sides are of bounded size, and each pair of blocks hands on k + 1 rows a query.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, python_rows, written
 
-TREES, LEAF, SAMPLE = 8, 128, 32_768
-#: Queries on which the number of probed leaves is set, and the recall that it must reach on them.
+TREES, LEAF, SAMPLE = 8, 16, 32_768
+#: Queries on which the reach is set, and the recall that it must have on them.
 TRIALS, RECALL = 128, 0.96
+ROW_BLOCK, QUERY_BLOCK = 16_384, 8_192
 
 
 @dataclass
@@ -84,27 +89,49 @@ class Forest:
             out[:, t] = leaf
         return out
 
-    def probe(self, q: np.ndarray, probes: int) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue."""
-        at = self.planes @ q - self.cuts if self.depth else np.zeros((len(self.planes), 0))
-        extra = self.more @ q
+    def margins(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of q at all nodes: (trees, nodes), and at the levels below, by fitted leaf: (trees, leaves, levels)."""
+        at = self.planes @ q - self.cuts if self.depth else np.zeros((len(self.planes), 0), np.float32)
+        return at.astype(np.float64), ((self.more @ q)[:, None, :] - self.more_cuts).astype(np.float64)
+
+    def probe(self, q: np.ndarray, reach: float) -> Iterator[tuple[float, int, int]]:
+        """(priority, tree, leaf) in the order of the queue that all trees share, up to ``reach``."""
+        at, extra = self.margins(q)
         levels = self.depth + self.extra
-        heap = [(-math.inf, t, 0, 0) for t in range(len(self.planes))]
-        out = []
-        while heap and len(out) < probes:
+        heap = [(0.0, t, 0, 0) for t in range(len(self.planes))]
+        while heap and heap[0][0] <= reach:
             far, t, level, i = heapq.heappop(heap)
             while level < levels:
-                if level < self.depth:
-                    m = float(at[t, 2**level - 1 + i])
-                else:
-                    e = level - self.depth
-                    m = float(extra[t, e] - self.more_cuts[t, i >> e, e])
+                m = at[t, 2**level - 1 + i] if level < self.depth else extra[t, i >> (level - self.depth), level - self.depth]
                 side = m >= 0
                 level += 1
-                heapq.heappush(heap, (max(far, abs(m)), t, level, 2 * i + (not side)))
+                heapq.heappush(heap, (far + abs(float(m)), t, level, 2 * i + (not side)))
                 i = 2 * i + side
-            out.append((t, i))
-        return out
+            yield far, t, i
+
+    def priorities(self, q: np.ndarray, leaves: np.ndarray, reach: float = math.inf) -> np.ndarray:
+        """The least priority that any tree's queue gives to the leaf of each row of ``leaves`` (rows, trees).
+
+        The same sums as ``probe`` makes, for many leaves at once; those beyond ``reach`` may come out as anything greater.
+        """
+        at, extra = self.margins(q)
+        best = np.full(len(leaves), np.inf)
+        for t in range(len(self.planes)):
+            far = np.zeros(1)
+            for level in range(self.depth):
+                m = at[t, 2**level - 1 : 2 ** (level + 1) - 1]
+                down = np.empty(2 * len(far))
+                down[0::2], down[1::2] = far + np.maximum(m, 0), far + np.maximum(-m, 0)
+                far = down
+            node = leaves[:, t] >> self.extra
+            p = far[node]
+            if self.extra:
+                near = np.flatnonzero(p <= reach)
+                m = extra[t, node[near]]
+                bit = (leaves[near, t][:, None] >> np.arange(self.extra - 1, -1, -1)) & 1
+                p[near] += np.maximum(np.where(bit, -m, m), 0).sum(1)
+            np.minimum(best, p, out=best)
+        return best
 
 
 def usable(vectors: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
@@ -117,12 +144,11 @@ def usable(vectors: DataFrame, key: str, vector: str, zero: bool) -> DataFrame:
     return rows.where(F.exists("v_", lambda x: x != 0)) if zero else rows
 
 
-def dimension(rows: DataFrame) -> int:
-    """The one length of all vectors; a mixture is an error, an empty table has 0."""
-    lo, hi = rows.agg(F.min(F.size("v_")), F.max(F.size("v_"))).first()
-    if lo != hi:
-        raise ValueError(f"vectors of {lo} to {hi} components can't be compared")
-    return lo or 0
+def of_one_length(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The vectors of the commonest length (of equally common ones the greatest), and that length; others can't be compared
+    with them. An empty table has length 0."""
+    most = rows.groupBy(F.size("v_").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
+    return (rows.where(F.size("v_") == most["n"]), most["n"]) if most else (rows, 0)
 
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -130,8 +156,16 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(1))
 
 
-def calibrated(points: DataFrame, forest: Forest, k: int, trials: int = TRIALS, recall: float = RECALL) -> int:
-    """The least number of probes that finds the share ``recall`` of the true k nearest points of ``trials`` points.
+def nearest_rows(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k rows nearest to q, ties to smaller ids."""
+    d = distances(x, q)
+    keep = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+    keep = keep[np.lexsort((ids[keep], d[keep]))[:k]]
+    return ids[keep], d[keep]
+
+
+def calibrated(points: DataFrame, forest: Forest, k: int, trials: int = TRIALS, recall: float = RECALL) -> float:
+    """The least reach that finds the share ``recall`` of the true k nearest points of ``trials`` points.
 
     One scan: the trial vectors are broadcast (their number is fixed), each task keeps the k nearest of its rows.
     """
@@ -153,78 +187,73 @@ def calibrated(points: DataFrame, forest: Forest, k: int, trials: int = TRIALS,
                 best[n] = sorted(best[n] + [(d[j], int(ids[j]), x[j].tobytes()) for j in near if np.isfinite(d[j])])[:k]
         yield pd.DataFrame([(n, *row) for n, rows in enumerate(best) for row in rows], columns=["n", "d", "p", "x"]).astype({"n": "int64", "p": "int64"})
 
-    near = points.select("p_", "v_").mapInPandas(scan, "n long, d double, p long, x binary")
+    near = python_rows(points.select("p_", "v_"), scan, "n long, d double, p long, x binary")
     true = near.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy("d", "p"))).where(F.col("r") <= k).select("n", "x").toPandas()
-    everything = len(forest.planes) * 2 ** (forest.depth + forest.extra)
-    limit = min(everything, 1 << 16)
-    first = []
-    for n, rows in true.groupby("n"):
-        order = {leaf: r for r, leaf in enumerate(forest.probe(q[n].astype(np.float32), limit), 1)}
-        at = forest.leaves(np.stack([np.frombuffer(x) for x in rows["x"]]).astype(np.float32))
-        first += [min(order.get((t, int(i)), everything) for t, i in enumerate(row)) for row in at]
-    return int(np.sort(first)[math.ceil(recall * len(first)) - 1]) if first else len(forest.planes)
+    far = [forest.priorities(q[n].astype(np.float32), forest.leaves(np.stack([np.frombuffer(x) for x in rows["x"]]).astype(np.float32))) for n, rows in true.groupby("n")]
+    far = np.sort(np.concatenate(far)) if far else np.empty(0)
+    return float(far[math.ceil(recall * len(far)) - 1]) if len(far) else math.inf
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf: int = LEAF, probes: int | None = None, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf: int = LEAF, reach: float | None = None, sample: int = SAMPLE, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose key is divisible by ``every`` the k nearest found others.
 
     score is the Euclidean distance in double precision, ties go to the smaller key. Null vectors, zero vectors and
-    those with null or non-finite components take no part, as queries or answers. Rows repeated whole count once; with
-    k or fewer others all that the probed leaves hold are returned. An empty table gives an empty one.
+    those with null or non-finite components take no part, as queries or answers; of vectors of several lengths those
+    of the commonest do. Rows repeated whole count once; with
+    k or fewer others all that the probed leaves hold are returned. Other columns of ``vectors``, whatever their names, play no
+    part. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, key, vector, zero=True)
+    rows, dim = of_one_length(usable(vectors, key, vector, zero=True))
     width = np.dtype("f4" if rows.schema["v_"].dataType.simpleString() == "array<float>" else "f8")
     by_id = Window.partitionBy("v_").orderBy("id_")
     # row_number() <= k + 1 is cut to the first k + 1 of each vector before the shuffle as well
     few = rows.distinct().withColumn("n_", F.row_number().over(by_id)).where(F.col("n_") <= k + 1)
     points = few.groupBy("v_").agg(F.sort_array(F.collect_list("id_")).alias("ids_"))
     points = written(points.withColumn("p_", F.element_at("ids_", 1)), "points")
-    total, dim = points.count(), dimension(points)
+    total = points.count()
     share = min(1.0, 4.0 * sample / max(1, total))
     fitted = points.where(F.pmod(F.xxhash64("p_"), F.lit(1 << 20)) <= share * (1 << 20)).orderBy(F.xxhash64("p_"), "p_").limit(sample).select("v_").toPandas()
     model = Forest.fit(np.array(fitted["v_"].tolist(), np.float32).reshape(-1, max(dim, 1)), total, trees, leaf)
-    probes = probes or calibrated(points, model, k)
+    reach = calibrated(points, model, k) if reach is None else reach
     forest = spark.sparkContext.broadcast(model)
 
     asks = rows.where(F.col("id_") % every == 0).distinct()
     asked = written(asks.join(points.select("v_", "p_"), "v_").select("id_", "p_"), "asked")
-    asking = points.join(asked.select("p_").distinct(), "p_", "left_semi")
+    asking = written(points.join(asked.select("p_").distinct(), "p_", "left_semi").select("p_", "v_"), "asking")
+    n_rows = max(1, -(-total // row_block), min(partitions(spark), -(-total // 2048)))
+    n_asks = max(1, -(-asking.count() // query_block))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             x = np.array(b["v_"].tolist(), width)
-            raw = [r.tobytes() for r in x]
-            at = forest.value.leaves(x.astype(np.float32))
-            for i in range(at.shape[1]):
-                yield pd.DataFrame({"tree": i, "leaf": at[:, i], "p": b["p_"], "x": raw})
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, v in zip(b["p_"], b["v_"], strict=True):
-                v = np.array(v, width)
-                found = forest.value.probe(v.astype(np.float32), probes)
-                yield pd.DataFrame({"tree": [t for t, _ in found], "leaf": [i for _, i in found], "q": p, "y": v.tobytes()})
+            f = forest.value
+            at = f.leaves(x.astype(np.float32))
+            block = at[:, 0] * n_rows >> (f.depth + f.extra)
+            yield pd.DataFrame({"block": block.astype(np.int32), "p": b["p_"], "x": [r.tobytes() for r in x], "at": [r.tobytes() for r in at]})
 
     def measure(there: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(there) or not len(wanted):
             return pd.DataFrame({"q": [], "p": [], "d": []}).astype({"q": "int64", "p": "int64"})
         x = np.frombuffer(b"".join(there["x"]), width).reshape(len(there), dim).astype(np.float64)
-        ids = there["p"].to_numpy(np.int64)
-        out = []
+        at = np.frombuffer(b"".join(there["at"]), np.int64).reshape(len(there), trees)
+        ids, out = there["p"].to_numpy(np.int64), []
         for a, y in zip(wanted["q"], wanted["y"], strict=True):
-            near = distances(x, np.frombuffer(y, width).astype(np.float64))
-            keep = np.lexsort((ids, near))[: k + 1]
-            out.append(pd.DataFrame({"q": a, "p": ids[keep], "d": near[keep]}))
-        return pd.concat(out)
-
-    leaf_rows = points.select("p_", "v_").mapInPandas(spread, "tree int, leaf long, p long, x binary")
-    probed = asking.repartition(partitions(spark), "p_").select("p_", "v_").mapInPandas(ask, "tree int, leaf long, q long, y binary")
-    found = leaf_rows.groupBy("tree", "leaf").cogroup(probed.groupBy("tree", "leaf")).applyInPandas(measure, "q long, p long, d double")
+            y = np.array(y, width)
+            near = np.flatnonzero(forest.value.priorities(y.astype(np.float32), at, reach) <= reach)
+            if len(near):
+                found, d = nearest_rows(x[near], ids[near], y.astype(np.float64), k + 1)
+                out.append(pd.DataFrame({"q": a, "p": found, "d": d}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "p": [], "d": []}).astype({"q": "int64", "p": "int64"})
+
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    placed = python_rows(points.select("p_", "v_"), spread, "block int, p long, x binary, at binary").withColumn("ask", each(n_asks))
+    wanted = asking.select(F.pmod(F.xxhash64("p_"), F.lit(n_asks)).cast("int").alias("ask"), F.col("p_").alias("q"), F.col("v_").alias("y")).withColumn("block", each(n_rows))
+    found = placed.groupBy("block", "ask").cogroup(wanted.groupBy("block", "ask")).applyInPandas(measure, "q long, p long, d double")
     best = Window.partitionBy("q").orderBy("d", "p")
-    found = written(found.distinct().withColumn("r_", F.row_number().over(best)).where(F.col("r_") <= k + 1).drop("r_"), "found")
+    found = written(found.withColumn("r_", F.row_number().over(best)).where(F.col("r_") <= k + 1).drop("r_"), "found")
     listed = found.join(points.select(F.col("p_").alias("p"), "ids_"), "p").select("q", "d", F.explode("ids_").alias("vec_id"))
     listed = listed.withColumn("r_", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("r_") <= k + 1)
     answers = asked.join(written(listed, "answers"), F.col("p_") == F.col("q")).where("id_ <> vec_id")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ann import dimension, usable
+from .ann import of_one_length, usable
 from .common import partitions, written
 
 ROW_BLOCK, QUERY_BLOCK, CELL = 16_384, 2_048, 16
@@ -82,7 +82,8 @@ def exact_top(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 25
     empty one.
     """
     rows = written(usable(vectors, key, vector, zero=False), "vectors")
-    dim, total = dimension(rows), rows.count()
+    rows, dim = of_one_length(rows)
+    total = rows.count()
     width = np.dtype("f4" if rows.schema["v_"].dataType.simpleString() == "array<float>" else "f8")
     asked = total // every + 1
     spread = partitions(vectors.sparkSession)

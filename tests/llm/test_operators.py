@@ -416,21 +416,33 @@ def test_nearest(vectors):
     hits = sum(len(set(got[q]) & set(want[q])) for q in want)
     assert hits >= 0.9 * 70
     full = {}
-    for r in ann.nearest(df, probes=10**6).collect():
+    for r in ann.nearest(df, reach=math.inf, row_block=100, query_block=3).collect():
         full.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     assert {q: [v[i] for i in range(1, 11)] for q, v in full.items()} == want
 
 
 def test_forest_beyond_its_sample():
     x = np.random.default_rng(0).normal(size=(3000, 16)).astype(np.float32)
-    f = ann.Forest.fit(x[:256], 3000, trees=4, leaf=16)
-    assert f.extra > 0
-    at = f.leaves(x)
-    assert len(np.unique(at[:, 0])) > 64
-    for q in x[:20]:
-        own = f.leaves(q[None])[0]
-        assert {(t, int(i)) for t, i in enumerate(own)} <= set(f.probe(q, 4 * 2 ** (f.depth + f.extra)))
-        assert f.probe(q, 1)[0][1] in own
+    for f in (ann.Forest.fit(x[:256], 3000, trees=4, leaf=16), ann.Forest.fit(x, 3000, trees=4, leaf=16), ann.Forest.fit(x[:9], 9)):
+        at = f.leaves(x)
+        for q in x[:10]:
+            queue = list(f.probe(q, math.inf))
+            assert [far for far, _, _ in queue] == sorted(far for far, _, _ in queue)
+            assert len({leaf[1:] for leaf in queue}) == len(queue) == len(f.planes) * 2 ** (f.depth + f.extra)
+            order = {(t, i): far for far, t, i in queue}
+            want = np.array([min(order[t, i] for t, i in enumerate(row)) for row in at[:200].tolist()])
+            assert np.allclose(f.priorities(q, at[:200]), want, atol=1e-9)
+            reach = float(np.median(want))
+            assert ((f.priorities(q, at[:200], reach) <= reach) == (want <= reach)).sum() >= 198
+            assert min(order[t, int(i)] for t, i in enumerate(f.leaves(q[None])[0])) < 1e-5
+    assert ann.Forest.fit(x[:256], 3000, trees=4, leaf=16).extra > 0
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [1.0 + i, 2.0, float(i % 3)]) for i in range(8)] + [(100, [1.0, 2.0]), (200, [5.0]), (300, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as id_", "2 as v_", "3 as query_id", "4 as p_", "5 as rank")
+    for got in (ann.nearest(df, k=3), va_file.exact_top(df, k=3, every=50)):
+        assert {r["query_id"] for r in got.collect()} == {0} and got.count() == 3
 
 
 # -- training order ------------------------------------------------------------------------------------------------
