@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import partitions, written
-from .token_count import nullable_ints
+from .common import partitions, python_rows, written
 
 PIECES = "key_ long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,7 +51,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, key
             yield pd.DataFrame(out, columns=["key_", "piece", "start", "length", "ids_crc32"]).astype({"key_": "Int64"})
 
     rows = docs.select(F.col(key).cast("long").alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
-    return nullable_ints(rows, run, PIECES)
+    return python_rows(rows, run, PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int, max_docs: int, max_attention: int, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> list[tuple[int, int, int, int, int]]:
@@ -61,10 +60,11 @@ def plan(histogram: dict[int, int], capacity: int, max_docs: int, max_attention:
     A class is (tokens left, documents left, attention left) -> intervals [first sequence, count].
     rule "norm": least weighted norm of the residual shares after placing; "dot": greatest weighted dot product of the
     demand and the residual shares, ties to the least residual tokens. Both take an exact fill of the tokens first.
+
+    The number of intervals is bounded by the lengths, not by the pieces: a step takes a whole interval, which only
+    changes its class, or ends a length, which splits one interval and has opened at most one.
     """
     caps, (wt, wd, wa) = (capacity, max_docs, max_attention), weights
-    # What can't bind is left out of the state, so that residuals which differ in it alone are one class.
-    one, square = int(max_docs < capacity), int(max_attention < capacity * capacity)
     classes: dict[tuple[int, int, int], list[list[int]]] = {}
     out, bins = [], 0
 
@@ -101,7 +101,7 @@ def plan(histogram: dict[int, int], capacity: int, max_docs: int, max_attention:
                 spans[-1] = [x + take, n - take]
             if not spans:
                 del classes[c]
-            new = (c[0] - s, c[1] - one, c[2] - square * s * s)
+            new = (c[0] - s, c[1] - 1, c[2] - s * s)
             if new[0] and new[1] and new[2]:
                 if new not in classes and new[0] >= s and new[2] >= s * s:
                     heapq.heappush(fits, (score(new, s), new))
@@ -112,13 +112,15 @@ def plan(histogram: dict[int, int], capacity: int, max_docs: int, max_attention:
 def pack(pieces: DataFrame, capacity: int, max_docs: int | None = None, max_attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """``pieces`` (key_, piece, length and whatever else) with sequence_id and offset.
 
-    Without max_docs or max_attention the tokens alone bind. Every piece, repeated rows too, is placed once; an empty
+    All three capacities are kept for every sequence; without max_docs or max_attention they are what the tokens allow. Every piece, repeated rows too, is placed once; an empty
     table gives an empty one. The driver gets counts by length: at most ``capacity`` rows.
     """
     spark = pieces.sparkSession
     docs, attention = max_docs or capacity, max_attention or capacity * capacity
     buckets = max(16, 2 * partitions(spark))
-    held = written(pieces.withColumn("bucket_", F.pmod(F.xxhash64("key_", "piece"), F.lit(buckets)).cast("int")), "pieces")
+    # equal rows are told apart by their place, so that repeats of one row are spread over the buckets as well
+    held = pieces.withColumn("row_", F.monotonically_increasing_id())
+    held = written(held.withColumn("bucket_", F.pmod(F.xxhash64("key_", "piece", "row_"), F.lit(buckets)).cast("int")), "pieces")
     counts = held.groupBy("length", "bucket_").agg(F.count("*").alias("n_"))
     counts = written(counts, "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n_").alias("n")).collect()}
@@ -128,9 +130,9 @@ def pack(pieces: DataFrame, capacity: int, max_docs: int | None = None, max_atte
 
     before = Window.partitionBy("length").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("length", "bucket_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("shift_"))
-    within = Window.partitionBy("length", "bucket_").orderBy("key_", "piece")
+    within = Window.partitionBy("length", "bucket_").orderBy("key_", "piece", "row_")
     ranked = held.withColumn("rank_", F.row_number().over(within) - 1).join(shift, ["length", "bucket_"])
-    ranked = ranked.withColumn("rank_", F.col("rank_") + F.col("shift_")).drop("shift_", "bucket_")
+    ranked = ranked.withColumn("rank_", F.col("rank_") + F.col("shift_")).drop("shift_", "bucket_", "row_")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, base = sent.value, np.int64(1) << 40
@@ -142,14 +144,18 @@ def pack(pieces: DataFrame, capacity: int, max_docs: int | None = None, max_atte
 
     names = [f for f in ranked.schema.fields if f.name != "rank_"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names) + ", sequence_id long, offset long"
-    return nullable_ints(ranked, place, schema)
+    return python_rows(ranked, place, schema)
+
+
+#: Documents that a sequence of pack_documents holds at most. Attention may cost what one full piece costs.
+MAX_DOCS = 256
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS, **limits) -> DataFrame:
     """Packs all documents: (key, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
 
     A null text counts as empty: a piece of the end id alone. Null keys and repeated rows are packed like any others.
-    Other columns of ``docs`` play no part.
+    Very long texts are cut into pieces and packed whole. Other columns of ``docs``, whatever their names, play no part.
     """
-    out = pack(token_pieces(docs, path, capacity, end_id, key, text), capacity, **limits)
+    out = pack(token_pieces(docs, path, capacity, end_id, key, text), capacity, max_docs, **limits)
     return out.select(F.col("key_").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
