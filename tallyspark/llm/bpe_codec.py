@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .token_count import nullable_ints
+from .common import python_rows
 
 STREAM_CHARS = 1 << 20
 
@@ -68,7 +68,7 @@ def encode_column(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     schema = T.StructType([T.StructField("key_", docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     rows = docs.select(F.col(key).alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
-    return nullable_ints(rows, run, schema).withColumnRenamed("key_", key)
+    return python_rows(rows, run, schema).withColumnRenamed("key_", key)
 
 
 def decode_column(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -81,7 +81,7 @@ def decode_column(encoded: DataFrame, path: str, key: str = "doc_id", ids: str =
 
     schema = T.StructType([T.StructField("key_", encoded.schema[key].dataType), T.StructField("text", T.StringType())])
     rows = encoded.select(F.col(key).alias("key_"), F.col(ids).alias("ids_"))
-    return nullable_ints(rows, run, schema).withColumnRenamed("key_", key)
+    return python_rows(rows, run, schema).withColumnRenamed("key_", key)
 
 
 def codec_digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,4 +108,4 @@ def codec_digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     schema = T.StructType([T.StructField("key_", docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     rows = docs.select(F.col(key).alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
-    return nullable_ints(rows, run, schema).withColumnRenamed("key_", key)
+    return python_rows(rows, run, schema).withColumnRenamed("key_", key)

@@ -27,9 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, maybe_listed, python_rows, without, written
 from .graph import components
-from .token_count import nullable_ints
 
 BANDS, ROWS, VALUES = 38, 6, 384
 U = np.uint64
@@ -47,55 +46,111 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
+#: Random words for the bytes of a word, by place: the hash of a word is the sum of its bytes' words (tabulation hashing).
+PLACES = 64
+TABLE = mix(np.arange(1, PLACES * 256 + 1, dtype=U) * U(0x9E3779B97F4A7C15) ^ U(0x2545F4914F6CDD1D))
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes whose words are hashed at once; a longer text goes in parts cut at white space.
+PART = 1 << 19
+
+
+def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    blank = BLANK[raw]
+    edge = np.diff(np.concatenate([[True], blank, [True]]).view(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(start):
+        return start, np.empty(0, U)
+    n = end - start
+    inside = raw[~blank]
+    first = np.cumsum(n) - n
+    place = np.minimum(np.arange(len(inside)) - np.repeat(first, n), PLACES - 1)
+    place <<= 8
+    place |= inside
+    with np.errstate(over="ignore"):
+        h = mix(np.add.reduceat(TABLE[place], first) + n.astype(U) * U(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(n > PLACES):
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
+    return start, h
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of every run of bytes without ASCII white space."""
+    whole = np.frombuffer(raw, np.uint8)
+    starts, hashes, at = [], [], 0
+    while at < len(raw):
+        cut = at + PART
+        while cut < len(raw) and not BLANK[raw[cut]]:
+            cut += 1
+        s, h = _word_hashes(whole[at:cut])
+        starts.append(s + at)
+        hashes.append(h)
+        at = cut
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.empty(0, np.int64), np.empty(0, U))
+
+
 class Shingler:
-    """text -> sorted distinct 64-bit hashes of its ``k``-word shingles.
+    """texts -> sorted distinct 64-bit hashes of each one's ``k``-word shingles.
 
     A-Z are lower-cased, words are runs without ASCII white space. With fewer than k words the whole sequence is one
-    shingle; without words there is none.
+    shingle; without words there is none. Nothing is kept between calls.
     """
 
     def __init__(self, k: int):
-        self.k, self.memo = k, {}
-
-    def word(self, w: bytes) -> int:
-        h = self.memo.get(w)
-        if h is None:
-            if len(self.memo) > 1_000_000:
-                self.memo.clear()
-            h = xxhash.xxh3_64_intdigest(w)
-            if len(w) <= 64:
-                self.memo[w] = h
-        return h
+        self.k = k
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, U)
-        get, word = self.memo.get, self.word
-        h = np.fromiter((get(w) or word(w) for w in words), U, len(words))
-        k = min(self.k, len(h))
+    def rolled(self, h: np.ndarray, k: int) -> np.ndarray:
+        n = len(h) - k + 1
         with np.errstate(over="ignore"):
-            s = mix(h[: len(h) - k + 1] + U(k))
+            s = mix(h[:n] + U(k))
             for i in range(1, k):
-                s = mix(s * U(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-        return np.unique(s)
+                s = mix(s * U(0x9E3779B97F4A7C15) + h[i : n + i])
+        return s
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        raw = [(x or "").encode("utf-8", "surrogatepass").lower() for x in texts]
+        start, h = word_hashes(b"\n".join(raw))
+        to = np.searchsorted(start, np.cumsum([len(x) + 1 for x in raw]))
+        s = self.rolled(h, self.k) if len(h) >= self.k else np.empty(0, U)
+        out, a = [], 0
+        for b in to.tolist():
+            if b - a >= self.k:
+                out.append(np.unique(s[a : b - self.k + 1]))
+            else:
+                out.append(self.rolled(h[a:b], b - a) if b > a else np.empty(0, U))
+            a = b
+        return out
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.sets([text])[0]
+
+
+def portions(lengths: list[int], most: int, rows: int) -> Iterator[slice]:
+    """Slices of up to ``rows`` rows and ``most`` characters, or of one longer row."""
+    at = 0
+    while at < len(lengths):
+        end, n = at + 1, lengths[at]
+        while end < len(lengths) and end - at < rows and n + lengths[end] <= most:
+            n += lengths[end]
+            end += 1
+        yield slice(at, end)
+        at = end
 
 
 def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
-    """SuperMinHash signatures of length m, a row for each set; rows of empty sets stay infinite."""
+    """SuperMinHash signatures of length m, a row for each set; rows of empty sets stay infinite.
+
+    Sets are taken in the order of their sizes: small ones need many levels, large ones few.
+    """
     out = np.full((len(sets), m), np.inf)
-    i = 0
-    while i < len(sets):
-        j, n = i, 0
-        while j < len(sets) and (j == i or n + len(sets[j]) <= CHUNK):
-            n += len(sets[j])
-            j += 1
-        if n > CHUNK:  # one very large set: in parts; the least of its parts' values is that of the whole
-            for s in range(0, n, CHUNK):
-                np.minimum(out[i], _signatures([sets[i][s : s + CHUNK]], m)[0], out=out[i])
-        elif n:
-            out[i:j] = _signatures(sets[i:j], m)
-        i = j
+    order = [i for i in sorted(range(len(sets)), key=lambda i: len(sets[i])) if len(sets[i])]
+    for part in portions([len(sets[i]) for i in order], CHUNK, len(order) or 1):
+        ids = order[part]
+        if len(sets[ids[0]]) > CHUNK:  # one very large set: in parts; the least of its parts' values is that of the whole
+            for s in range(0, len(sets[ids[0]]), CHUNK):
+                np.minimum(out[ids[0]], _signatures([sets[ids[0]][s : s + CHUNK]], m)[0], out=out[ids[0]])
+        else:
+            out[ids] = _signatures([sets[i] for i in ids], m)
     return out
 
 
@@ -170,16 +225,16 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int, key: str, text: str)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(k)
         for b in batches:
-            for s in range(0, len(b), 512):
-                part = b.iloc[s : s + 512]
-                sets = [shingle(x) for x in part["text_"]]
+            texts = b["text_"].tolist()
+            for at in portions([len(x or "") for x in texts], 1 << 20, 1024):
+                sets = shingle.sets(texts[at])
                 prints = np.array([divmod(xxhash.xxh3_128_intdigest(x.tobytes()), 1 << 64) for x in sets], dtype=U).view(np.int64).reshape(-1, 2)
                 sig = signatures(sets, max(VALUES, bands * rows))
                 keys, bits = band_keys(sig[:, : bands * rows], bands, rows), bit_words(sig)
-                yield pd.DataFrame({"key_": part["key_"].to_numpy(), "n_": [len(x) for x in sets], "f1_": prints[:, 0], "f2_": prints[:, 1], "bands_": [list(q) if len(x) else [] for x, q in zip(sets, keys, strict=True)], "bits_": list(bits)})
+                yield pd.DataFrame({"key_": b["key_"].to_numpy()[at], "n_": [len(x) for x in sets], "f1_": prints[:, 0], "f2_": prints[:, 1], "bands_": [q if len(x) else q[:0] for x, q in zip(sets, keys, strict=True)], "bits_": list(bits)})
 
     rows_in = docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_"))
-    return nullable_ints(rows_in, run, "key_ long, n_ long, f1_ long, f2_ long, bands_ array<long>, bits_ array<long>")
+    return python_rows(rows_in, run, "key_ long, n_ long, f1_ long, f2_ long, bands_ array<long>, bits_ array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -214,27 +269,28 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text", weed: bool = True) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``docs``; other columns play no part.
 
     component_id is the smallest key reachable over links, kept says whether that is the row's own. Null, empty and
     blank texts have no shingles, n_shingles 0, and stand alone. Rows of one key are one document: a link of either
     text links it, and every such row is returned. Rows with a null key are returned with n_shingles and null for the
-    rest. An empty table gives an empty one.
+    rest. An empty table gives an empty one. Very long texts are hashed in parts and compared whole. ``weed`` false compares
+    the full sets of all pairs that meet in a band, without weeding by signature bits before.
     """
     seen = written(sketch(docs, k, bands, rows, key, text), "sketch")
     own = seen.where("key_ is not null")
     classes = written(own.where("n_ > 0").groupBy("f1_", "f2_").agg(F.min("key_").alias("rep_")), "classes")
     member = written(own.join(classes, ["f1_", "f2_"], "left").select("key_", "n_", F.coalesce("rep_", "key_").alias("rep_"), *(F.when(F.col("rep_") == F.col("key_"), F.col(c)).alias(c) for c in ("bands_", "bits_"))), "members")
     values = max(VALUES, bands * rows)
-    words, most = -(-values // 16), most_apart(values, percent)
+    words, most = -(-values // 16), most_apart(values, percent) if weed else values
 
     band = member.where("bands_ is not null").select("rep_", F.explode("bands_").alias("band_"))
     shared = written(band.groupBy("band_").agg(F.min("rep_").alias("lead_"), F.max("rep_").alias("last_")).where("lead_ < last_").select("band_", "lead_"), "buckets")
     bucket = written(band.join(shared, "band_"), "candidates")
-    vertices = bucket.select("rep_").distinct().join(member.where("bits_ is not null").select("rep_", "bits_", "bands_"), "rep_").dropDuplicates(["rep_"]).withColumnRenamed("rep_", "key_")
+    vertices = bucket.select("rep_").distinct().join(member.where("bits_ is not null").select("rep_", "bits_", "bands_"), "rep_").distinct().withColumnRenamed("rep_", "key_")
     vertices = written(vertices, "vertices")
-    texts = written(docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).join(vertices.select("key_"), "key_"), "texts")
+    texts = written(docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).join(vertices.select("key_").distinct(), "key_"), "texts")
 
     tried = written(bucket.where("lead_ < rep_").groupBy(F.col("rep_").alias("b")).agg(F.min("lead_").alias("a")).select("a", "b"), "pairs")
     links = written(verified(tried, texts, k, percent), "edges")
@@ -276,11 +332,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return out.select(F.col("key_").alias(key), F.col("n_").alias("n_shingles"), "component_id", (F.col("key_") == F.col("component_id")).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one of the smallest key; all columns stay.
 
-    Rows repeated under one key leave one row; rows with a null key all stay.
+    Rows under one key are one document: they stay or go together, and of those that stay with equal words only one is
+    left. Rows with a null key all stay. Only rows that go, or that share their key, are shuffled.
     """
-    gone = near_duplicates(docs, key=key, **how).where("not kept").select(F.col(key).alias("gone_")).distinct()
-    left = docs.join(gone, docs[key] == F.col("gone_"), "left_anti")
-    return left.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.where(F.col(key).isNull()))
+    near = written(near_duplicates(docs, key=key, text=text, **how).where(F.col(key).isNotNull()).select(key, "kept"), "groups")
+    left = without(docs, near.where("not kept").select(key), key)
+    several = near.where("kept").groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    may, clear = maybe_listed(left, several, key)
+    (same,) = fresh(docs, "same_")
+    plain = F.trim(F.regexp_replace(F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
+    one = may.where(F.col(key).isNotNull()).withColumn(same, F.coalesce(plain, F.lit(""))).dropDuplicates([key, same]).drop(same)
+    return one.unionByName(may.where(F.col(key).isNull())).unionByName(clear)

@@ -20,8 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .token_count import nullable_ints
+from .common import python_rows, without, written
 
 D, WIDTH, RIDGE, FOLDS, SEED = 384, 1.0 / 64, 1.0, 3, 20240607
 #: Most labelled rows that the model is fitted on: those of least key hash. A parameter of fit().
@@ -86,7 +85,7 @@ def document_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"key_": b["key_"], "stats_": [np.array(statistics(x), np.float32) for x in b["text_"]]})
 
-    return nullable_ints(docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")), run, "key_ long, stats_ array<float>")
+    return python_rows(docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")), run, "key_ long, stats_ array<float>")
 
 
 @dataclass
@@ -213,11 +212,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
                 x = np.stack(b.pop("stats_"))
                 yield b.assign(score=m.score(x) if m else np.full(len(x), 0.5))
 
-    out = nullable_ints(stats.select("key_", apart.alias("held_out"), "stats_"), run, "key_ long, held_out boolean, score double")
+    out = python_rows(stats.select("key_", apart.alias("held_out"), "stats_"), run, "key_ long, held_out boolean, score double")
     return out.select(F.col("key_").alias(key), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; all columns stay. Rows with a null key stay."""
-    bad = quality_scores(docs, labels, key=key, **how).where("predicted = 0").select(F.col(key).alias("gone_")).distinct()
-    return docs.join(bad, docs[key] == F.col("gone_"), "left_anti")
+    bad = written(quality_scores(docs, labels, key=key, **how).where("predicted = 0").select(key).distinct(), "rejected")
+    return without(docs, bad, key)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
+from .common import python_rows
 
 
 def counter(path: str):
@@ -44,19 +45,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     schema = T.StructType([T.StructField("key_", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key_"), F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("text_"))
-    return nullable_ints(rows, run, schema).select(F.col("key_").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-
-
-def nullable_ints(rows: DataFrame, run, schema: T.StructType) -> DataFrame:
-    """mapInPandas whose integer columns pass nulls through unharmed (pandas would turn them to floats)."""
-
-    def safe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def held() -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if "key_" in b and b["key_"].dtype.kind == "f":
-                    b["key_"] = b["key_"].astype("Int64")
-                yield b
-
-        yield from run(held())
-
-    return rows.mapInPandas(safe, schema)
+    return python_rows(rows, run, schema).select(F.col("key_").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -23,9 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import shared_dir, written
+from .common import python_rows, shared_dir, written
 from .minhash import mix
-from .token_count import nullable_ints
 
 HEADER, ROUNDS = 16, 6
 #: The document number of records of a null key.
@@ -67,7 +66,7 @@ def token_table(docs: DataFrame, path: str, length: int, end_id: int, key: str,
             start += int(n.sum())
 
     rows = docs.select(F.col(key).cast("long").alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
-    return nullable_ints(rows, run, "part_ int, start_ long, n_ long, key_ long, ids_ binary")
+    return python_rows(rows, run, "part_ int, start_ long, n_ long, key_ long, ids_ binary")
 
 
 def materialise(docs: DataFrame, path: str, seed: int, length: int = 256, end_id: int = 50256, slots_per_shard: int = 65_536, out: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,7 +119,7 @@ def materialise(docs: DataFrame, path: str, seed: int, length: int = 256, end_id
         if file:
             file.commit()
 
-    placed = nullable_ints(held.join(base.select("part_", "base_"), "part_").select("key_", "base_", "start_", "ids_"), records, "shard int, slot long, record binary")
+    placed = python_rows(held.join(base.select("part_", "base_"), "part_").select("key_", "base_", "start_", "ids_"), records, "shard int, slot long, record binary")
     dealt = placed.repartitionById(max(1, shards), "shard").sortWithinPartitions("slot")
     index = written(dealt.mapInPandas(write, "key_ long, piece long, n_tokens long, ids_crc32 long, slot long, shard int, byte_offset long"), "index")
     return index.select(F.col("key_").alias(key), "piece", "n_tokens", "slot", "shard", "byte_offset", "ids_crc32")
