@@ -9,8 +9,10 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -164,14 +166,14 @@ def lookahead(path: str) -> int:
 class Memo(dict):
     """word -> what ``make`` gives for its bytes; bounded, so that a worker's memory is too."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHE_WORDS):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, word: str):
         out = self.make(raw := word.encode("utf-8"))
         if len(raw) <= WORD_BYTES:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = out
         return out
@@ -211,100 +213,253 @@ def encoder(path: str, kind: str):
 # -- streaming -----------------------------------------------------------------------------------------------------
 
 
+class Machine:
+    """What the transducer needs of a vocabulary: the automaton of its tokens, and which tokens stay apart side by side.
+
+    A state is the longest end of what was read that some token begins with. ``ends[state]`` are the tokens that end
+    there, longest first; ``open[state]`` are the lengths of the ends with which a longer token begins.
+    """
+
+    def __init__(self, v: Vocabulary):
+        self.v, own = v, set(v.specials.values())
+        self.made = [(-1, -1, -1)] * len(v.token)  # (rank, left, right) of the merge that makes a token
+        for (x, y), (rank, z) in v.pairs.items():
+            self.made[z] = (rank, x, y)
+        self.plain = len({z for _, z in v.pairs.values()}) == len(v.pairs)  # no token is made in two ways
+        self.size = [len(x) for x in v.token]
+        self.step: dict[int, int] = {}  # state << 8 | byte -> state
+        token, inner, depth = [-1], [False], [0]
+        for i, raw in enumerate(v.token):
+            if not raw or i in own:
+                continue
+            rank, x, y = self.made[i]
+            if len(raw) > 1 and not (rank >= 0 and self.border(x, y, rank) if self.plain else v.merge(raw) == [i]):
+                continue  # no text merges to it
+            node = 0
+            for byte in raw:
+                k = node << 8 | byte
+                inner[node] = True
+                if k not in self.step:
+                    self.step[k] = len(token)
+                    token.append(-1)
+                    inner.append(False)
+                    depth.append(depth[node] + 1)
+                node = self.step[k]
+            token[node] = i
+        self.shorter = [0] * len(token)  # the next shorter end that is a state
+        self.ends: list[tuple[int, ...]] = [()] * len(token)
+        self.open: list[tuple[int, ...]] = [()] * len(token)
+        for k, node in sorted(self.step.items(), key=lambda e: depth[e[1]]):
+            above, byte = k >> 8, k & 255
+            f = self.follow(self.shorter[above], byte) if above else 0
+            self.shorter[node] = f
+            self.ends[node] = (token[node], *self.ends[f]) if token[node] >= 0 else self.ends[f]
+            self.open[node] = (depth[node], *self.open[f]) if inner[node] else self.open[f]
+        self.known: dict[int, bool] = {}
+
+    def follow(self, state: int, byte: int) -> int:
+        while (to := self.step.get(state << 8 | byte)) is None and state:
+            state = self.shorter[state]
+        return to or 0
+
+    def border(self, x: int, y: int, before: float) -> bool:
+        """Whether no merge of a rank under ``before`` reaches over the border of x and y.
+
+        Goes back in time: of the symbols at the border the one made last is taken apart (of equal ones the right, since the
+        left one is made first), and a merge of what then met there must not have come earlier than that; one of equal rank
+        would have, if it lies to the left.
+        """
+        pair, made = self.v.pairs.get, self.made
+        (a, xl, xr), (b, yl, yr) = made[x], made[y]
+        while True:
+            if (p := pair((x, y))) and p[0] < before:
+                return False
+            if a > b:
+                before, x = a, xr
+                a, xl, xr = made[x]
+            elif b >= 0:
+                before, y = b + 1, yl
+                b, yl, yr = made[y]
+            else:
+                return True
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether the bytes of a and b together merge to just these two."""
+        k = a << 32 | b
+        if (out := self.known.get(k)) is None:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            out = self.known[k] = self.border(a, b, math.inf) if self.plain else self.v.merge(self.v.token[a] + self.v.token[b]) == [a, b]
+        return out
+
+
+@lru_cache(maxsize=2)
+def machine(path: str) -> Machine:
+    return Machine(vocabulary(path))
+
+
 class Transducer:
-    """Bounded-lookahead BPE of one word that arrives in parts.
+    """Bounded-lookahead BPE of one word that arrives byte by byte; tokens go out once they are stable.
 
-    ``feed`` keeps at most ``2 * look`` bytes and one part: once more have come it merges what it holds and emits the
-    tokens that end ``look`` bytes before its end; those no longer depend on what follows. What is left starts at a
-    token boundary of the whole word, across which no merge ever reaches, so merging goes on from there. Constant
-    memory, linear time.
+    The last token of every prefix is the one token at its end that stays apart from the last token before it, so each
+    byte takes a step of the automaton and a look at the tokens that end there. What follows can only build on the
+    end and on the starts at which a longer token is open: the tokens that all their prefixes begin with are stable and go out at
+    once. A token that ends ``lookahead`` bytes before the end is the same in all prefixes, so no more than that and the
+    longest token is ever held: constant memory, linear time.
     """
 
-    def __init__(self, v: Vocabulary, look: int):
-        self.v, self.look, self.held = v, look, bytearray()
+    def __init__(self, m: Machine):
+        self.m = m
+        self.reset()
+
+    def reset(self) -> None:
+        # of every place held: the last token before it (at the first place, the last that went out), and where that starts
+        self.tok, self.start, self.base, self.state = [-1], [0], 0, 0
 
     def feed(self, part: bytes) -> list[int]:
-        self.held += part
-        if len(self.held) <= 2 * self.look:
-            return []
-        out, end, limit = [], 0, len(self.held) - self.look
-        for t in self.v.merge(bytes(self.held)):
-            if end + len(self.v.token[t]) > limit:
+        m = self.m
+        step, shorter, ends, opened, size, known = m.step.get, m.shorter, m.ends, m.open, m.size, m.known
+        tok, start, base, state = self.tok, self.start, self.base, self.state
+        out: list[int] = []
+        n, low = len(tok) - 1, base
+        for byte in part:
+            while (to := step(state << 8 | byte)) is None:
+                state = shorter[state]
+            state = to
+            n += 1
+            for t in ends[state]:
+                j = n - size[t]
+                if j >= base:
+                    if j == n - 1 or (last := tok[j]) < 0:  # one token fits, and a single byte is the last to try
+                        break
+                    if (ok := known.get(last << 32 | t)) is None:
+                        ok = m.apart(last, t)
+                    if ok:
+                        break
+            tok.append(t)
+            start.append(j)
+            wide = opened[state]
+            at = n - wide[0] if wide else n
+            if at <= low:  # no start has closed
+                continue
+            low = at
+            while base < n and at > base:
+                e = n
+                while start[e] > base:
+                    e = start[e]
+                for w in wide:
+                    i = n - w
+                    while start[i] > base:
+                        i = start[i]
+                    if i != e:
+                        break
+                else:
+                    out.append(tok[e])
+                    base = e
+                    continue
                 break
-            end += len(self.v.token[t])
-            out.append(t)
-        del self.held[:end]
+        if base > 512:  # what went out is forgotten
+            tok, start, base = tok[base:], [x - base for x in start[base:]], 0
+        self.tok, self.start, self.base, self.state = tok, start, base, state
         return out
 
     def finish(self) -> list[int]:
-        out = self.v.merge(bytes(self.held))
-        self.held.clear()
-        return out
+        out, i = [], len(self.tok) - 1
+        while i > self.base:
+            out.append(self.tok[i])
+            i = self.start[i]
+        self.reset()
+        return out[::-1]
 
 
-def transduce(v: Vocabulary, look: int, word: bytes) -> list[int]:
-    """The ids of a word through the transducer, fed in parts of ``look`` bytes."""
-    t = Transducer(v, look)
-    if len(word) <= 2 * look:
-        t.held += word
-        return t.finish()
-    out: list[int] = []
-    for i in range(0, len(word), look):
-        out += t.feed(word[i : i + look])
-    return out + t.finish()
+def transduce(m: Machine, word: bytes) -> list[int]:
+    """The ids of a word through the transducer."""
+    t = Transducer(m)
+    return t.feed(word) + t.finish()
 
 
 #: Runs that one word of the split pattern may hold without end: what goes on in the next window if a window ends in it.
-RUNS = {k: regex.compile(p) for k, p in (("L", r"\p{L}+"), ("N", r"\p{N}+"), ("O", r"[^\p{White_Space}\p{L}\p{N}]+"))}
+RUNS = {k: regex.compile(p) for k, p in (("L", r"\p{L}+"), ("N", r"\p{N}+"), ("O", r"[^\p{White_Space}\p{L}\p{N}]+"), ("S", r"\p{White_Space}+"))}
 WINDOW = 1 << 16
 
 
-def words(v: Vocabulary, chunks: Iterable[str]) -> Iterator[tuple[str, bool]]:
-    """Splits a text that arrives in chunks: (part of a word, whether the word ends with it).
+def words(v: Vocabulary, chunks: Iterable[str], window: int = WINDOW) -> Iterator[tuple[list[str], str, bool]]:
+    """Splits a text that arrives in chunks: (whole words, part of a word that goes on from the call before or begins, whether it ends there).
 
     All words but the last of what is held are settled, since the pattern looks one character past a word's end; only
-    an apostrophe before a last l, r or v may still become 'll, 're or 've, so it waits too. A
-    last word over a window long is handed on in parts while its run of letters, digits or signs goes on; of a run of
-    white space, only the last character can still change sides, so the rest waits as a count-free buffer of at most
-    the run itself.
+    an apostrophe before a last l, r or v may still become 'll, 're or 've, so it waits too. A last word over a window
+    long is handed on in parts while its run goes on; of a run of white space the last character stays back, since it
+    belongs to what follows unless the text ends. So no more than a window and a chunk is held.
     """
     held, run = "", None
     for chunk in chunks:
         held += chunk
         if run:
-            m = run.match(held)
-            if m and m.end() == len(held):
-                yield held, False
-                held = ""
+            m = RUNS[run].match(held)
+            end = m.end() if m else 0
+            back = int(run == "S")
+            if end == len(held):
+                yield [], held[: end - back], False
+                held = held[end - back :]
                 continue
-            yield held[: m.end()] if m else "", True
-            held, run = held[m.end() :] if m else held, None
-        found = list(v.split.finditer(held))
+            yield [], held[: end - back], True
+            held, run = held[end - back :], None
+        found = v.split.findall(held)
         if not found:
             continue
-        open_ = 2 if len(found) > 1 and found[-2][0] == "'" and found[-1][0] in ("l", "r", "v") else 1
-        for m in found[:-open_]:
-            yield m[0], True
-        last = found[-1][0]
-        held = held[found[-open_].start() :]
-        if len(last) >= WINDOW and not last.isspace():
+        waits = 2 if len(found) > 1 and found[-2] == "'" and found[-1] in ("l", "r", "v") else 1
+        last = found[-1]
+        if len(found) > waits:
+            yield found[:-waits], "", True
+        held = "".join(found[-waits:])
+        if len(last) >= window:
             c = last[-1]
-            run = RUNS["L" if regex.match(r"\p{L}", c) else "N" if regex.match(r"\p{N}", c) else "O"]
-            yield last, False
-            held = ""
+            run = next(k for k, p in RUNS.items() if p.match(c))
+            back = int(run == "S")
+            yield [], last[: len(last) - back], False
+            held = last[len(last) - back :]
     if run:
-        yield "", True
-    for m in v.split.finditer(held):
-        yield m[0], True
-
-
-def stream_ids(v: Vocabulary, look: int, chunks: Iterable[str]) -> Iterator[int]:
-    """Token ids of a text without special strings that arrives in chunks; emitted as soon as they are settled."""
-    t = Transducer(v, look)
-    for part, ended in words(v, chunks):
-        yield from t.feed(part.encode("utf-8"))
-        if ended:
-            yield from t.finish()
+        yield [], held, True
+        held = ""
+    if held:
+        yield v.split.findall(held), "", True
+
+
+class Encoder:
+    """Text in chunks -> ids, in portions, as soon as they are settled; every id comes from the transducer.
+
+    Words recur: what the transducer gave for short ones is remembered (bounded), as ids and as their decimal digits.
+    """
+
+    def __init__(self, path: str, window: int = WINDOW):
+        self.v, self.m, self.window = vocabulary(path), machine(path), window
+        self.digits = [str(i) for i in range(len(self.v.token))]
+        self.one, self.memo = Transducer(self.m), Memo(self.word)
+
+    def word(self, raw: bytes) -> tuple[list[int], str]:
+        ids, digits = self.one.feed(raw) + self.one.finish(), self.digits
+        return ids, ",".join([digits[i] for i in ids])
+
+    def plain(self, chunks: Iterable[str]) -> Iterator[tuple[list[int], str]]:
+        """(ids, their digits joined by commas) of a text without special strings."""
+        memo, t = self.memo, None
+        for whole, part, ended in words(self.v, chunks, self.window):
+            if whole:
+                got = list(map(memo.__getitem__, whole))
+                yield list(chain.from_iterable([ids for ids, _ in got])), ",".join([d for _, d in got])
+            elif part or ended:
+                t = t or Transducer(self.m)
+                ids = t.feed(part.encode("utf-8")) + (t.finish() if ended else [])
+                if ids:
+                    yield ids, ",".join(map(self.digits.__getitem__, ids))
+
+    def stream(self, text: str) -> Iterator[tuple[list[int], str]]:
+        parts = self.v.special_split.splititer(text) if self.v.special_split else [text]
+        for p in parts:
+            if (special := self.v.specials.get(p)) is not None:
+                yield [special], str(special)
+            elif p:
+                yield from self.plain(p[i : i + self.window] for i in range(0, len(p), self.window))
 
 
 class Decoder:

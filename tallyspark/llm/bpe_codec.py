@@ -1,17 +1,14 @@
 """BPE encoding and decoding with a bounded-lookahead streaming transducer and an incremental decoder.
 
-``bpe.lookahead`` computes from the merge list how many bytes right of a token settle it; ``bpe.Transducer`` emits
-tokens as soon as they are settled and keeps no more than twice that many bytes. Words recur, so a worker remembers
-what the transducer gave for short ones (bounded). Texts over ``STREAM_CHARS`` go through ``bpe.stream_ids`` in
-chunks. Narrow maps only.
+``bpe.lookahead`` computes from the merge list how many bytes right of a token settle it at most; ``bpe.Transducer`` emits
+tokens as soon as they are stable, which is mostly sooner, and holds no more than that. Every text, long or short, goes through
+``bpe.Encoder.stream`` in chunks; ids are hashed and decoded as they come out and not kept. Narrow maps only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
-
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,34 +18,6 @@ from pyspark.sql import types as T
 from . import bpe
 from .common import python_rows
 
-STREAM_CHARS = 1 << 20
-
-
-def encoder(path: str):
-    """text -> list of its ids."""
-    v, look = bpe.vocabulary(path), bpe.lookahead(path)
-    memo = bpe.Memo(lambda raw: tuple(bpe.transduce(v, look, raw)))
-
-    def encode(text: str) -> list[int]:
-        if len(text) > STREAM_CHARS:
-            parts = v.special_split.split(text) if v.special_split else [text]
-            out: list[int] = []
-            for p in parts:
-                if p in v.specials:
-                    out.append(v.specials[p])
-                elif p:
-                    out += bpe.stream_ids(v, look, (p[i : i + bpe.WINDOW] for i in range(0, len(p), bpe.WINDOW)))
-            return out
-        out = []
-        for special, words in bpe.pieces(v, text):
-            if special >= 0:
-                out.append(special)
-            else:
-                out += chain.from_iterable(map(memo.__getitem__, words))
-        return out
-
-    return encode
-
 
 def decode(v: bpe.Vocabulary, ids: list[int], portion: int = 4096) -> Iterator[str]:
     """The text of ids, portion by portion."""
@@ -62,9 +31,9 @@ def encode_column(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     """(key, ids array<int>): every whole text's ids; null texts give an empty array. One row out for one in."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+        encode = bpe.Encoder(path)
         for b in batches:
-            yield pd.DataFrame({"key_": b["key_"], "ids": [encode(x) for x in b["text_"]]})
+            yield pd.DataFrame({"key_": b["key_"], "ids": [[i for ids, _ in encode.stream(x) for i in ids] for x in b["text_"]]})
 
     schema = T.StructType([T.StructField("key_", docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     rows = docs.select(F.col(key).alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
@@ -87,25 +56,26 @@ def decode_column(encoded: DataFrame, path: str, key: str = "doc_id", ids: str =
 def codec_digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) from encoding every whole text and decoding its ids again.
 
-    Null texts count as empty (0 tokens, digests of ''); repeated rows and null keys give one row each. A text's ids
-    live only while its row is in work.
+    Null texts count as empty (0 tokens, digests of ''); repeated rows and null keys give one row each. Of a very long text
+    no more than a window is in work besides the text itself. Other columns of ``docs``, whatever their names, play no part.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, v = encoder(path), bpe.vocabulary(path)
-        decimal = [str(i) for i in range(len(v.token))].__getitem__
+        encode = bpe.Encoder(path)
         for b in batches:
-            n, a, d = [], [], []
-            for x in b["text_"]:
-                ids = encode(x)
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
-                h = hashlib.sha256()
-                for part in decode(v, ids):
-                    h.update(part.encode("utf-8"))
-                d.append(h.hexdigest())
-            yield pd.DataFrame({"key_": b["key_"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": d})
+            yield pd.DataFrame([digest(encode, x) for x in b["text_"]], columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(key_=b["key_"].to_numpy())[["key_", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
     schema = T.StructType([T.StructField("key_", docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     rows = docs.select(F.col(key).alias("key_"), F.coalesce(F.col(text), F.lit("")).alias("text_"))
     return python_rows(rows, run, schema).withColumnRenamed("key_", key)
+
+
+def digest(encode: bpe.Encoder, text: str) -> tuple[int, str, str]:
+    """(number of ids, SHA-256 of their decimal list, SHA-256 of the decoded text), each portion hashed and decoded as it comes."""
+    n, listed, decoded, d = 0, hashlib.sha256(), hashlib.sha256(), bpe.Decoder(encode.v)
+    for ids, digits in encode.stream(text):
+        listed.update((f",{digits}" if n else digits).encode())
+        decoded.update(d.feed(ids).encode("utf-8"))
+        n += len(ids)
+    decoded.update(d.finish().encode("utf-8"))
+    return n, listed.hexdigest(), decoded.hexdigest()
