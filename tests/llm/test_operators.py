@@ -73,32 +73,67 @@ def test_codec_round_trip(docs, path, library):
     assert {(r["doc_id"], r["text"]) for r in bpe_codec.decode_column(encoded, path).collect()} == {(k, t) for k, t in texts.items()}
 
 
+def streamed(path, chunks, window=bpe.WINDOW):
+    return [i for ids, _ in bpe.Encoder(path, window).plain(chunks) for i in ids]
+
+
 def test_transducer_and_stream_in_any_portions(path, library):
-    v, look = bpe.vocabulary(path), bpe.lookahead(path)
-    rnd = random.Random(1)
-    for _ in range(40):
-        word = "".join(rnd.choice("abcdetionghr") for _ in range(rnd.randint(1, 4000))).encode()
-        t, out = bpe.Transducer(v, look), []
-        while word:
-            n = rnd.randint(1, 700)
-            out += t.feed(word[:n])
-            assert len(t.held) <= 2 * look + 700
-            word = word[n:]
-        got = out + t.finish()
-        assert got == library.encode(b"".join(v.token[i] for i in got).decode(), add_special_tokens=False).ids
-    for text in ["It's 10  o'clock \n\n now" * 50, "x" * 200_000, " " * 500 + "a", "1" * 70_000 + "a", "é" * 70_000]:
-        n = rnd.randint(1, 9000)
-        assert list(bpe.stream_ids(v, look, (text[i : i + n] for i in range(0, len(text), n)))) == library.encode(text, add_special_tokens=False).ids
+    m, look = bpe.machine(path), bpe.lookahead(path)
+    v, rnd = m.v, random.Random(1)
+    longest = max(map(len, v.token))
+    tokens = [t for t in v.token if t]
+    words = ["".join(rnd.choice("abcdetionghr") for _ in range(rnd.randint(1, 4000))).encode() for _ in range(20)]
+    words += [b"".join(rnd.choice(tokens) for _ in range(rnd.randint(1, 6)))[: rnd.randint(1, 60)] for _ in range(2000)]
+    words += [b"-" * 5000, b"a" * 3000, b"=-" * 1500, "ÃÂ".encode() * 900, b" " * 4000]
+    for word in words:
+        want, t, out, at = v.merge(word), bpe.Transducer(m), [], 0
+        while at < len(word):
+            n = rnd.randint(1, 60)
+            out += t.feed(word[at : at + n])
+            assert len(t.tok) - t.base <= look + longest + 2 and len(t.tok) <= 512 + look + longest + 62
+            at += n
+        assert out + t.finish() == want
+    for text in ["It's 10  o'clock \n\n now" * 50, "x" * 20_000, " " * 500 + "a", "1" * 7_000 + "a", "é" * 7_000, "\n" * 3000 + " a", " \n" * 2000, "-" * 900 + " " * 900]:
+        want = library.encode(text, add_special_tokens=False).ids
+        for n, window in ((rnd.randint(1, 900), 100), (7, 3), (10**6, bpe.WINDOW)):
+            assert streamed(path, (text[i : i + n] for i in range(0, len(text), n)), window) == want, (text[:9], n, window)
+
+
+def test_borders_of_tokens_are_those_of_merging(path):
+    m, rnd = bpe.machine(path), random.Random(2)
+    pairs = [(rnd.randrange(50256), rnd.randrange(50256)) for _ in range(2000)] + [(t, t) for t in range(0, 50256, 50)] + list(m.v.pairs)[::50]
+    for a, b in pairs:
+        assert m.apart(a, b) == (m.v.merge(m.v.token[a] + m.v.token[b]) == [a, b])
+
+
+def test_tokens_go_out_before_a_word_ends(spark, path):
+    """On ordinary documents, and nothing of a text is held beyond the window."""
+    m, early, late = bpe.machine(path), 0, 0
+    for r in spark.read.parquet(f"{SF}/documents.parquet").limit(50).collect():
+        for whole, part, _ in bpe.words(m.v, [r["text"]]):
+            for w in [*whole, part]:
+                t = bpe.Transducer(m)
+                early, late = early + len(t.feed(w.encode())), late + len(t.finish())
+    assert early > 0.1 * late > 0
+    import tracemalloc
+
+    encode, peaks = bpe.Encoder(path, 1 << 12), []
+    for n in (50, 500):
+        tracemalloc.start()
+        for unit in ("ab ", " ", "x", "\u00e9!"):
+            assert sum(len(ids) for ids, _ in encode.plain(unit * (1 << 11) for _ in range(n))) > 0
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
 
 
 def test_stream_split_anywhere_in_contractions(path, library):
-    v, look = bpe.vocabulary(path), bpe.lookahead(path)
     tails = ["'ll", "'re", "'ve", "'s", "'d", "'m", "'t", "'lx", "'r", "'v", "''ll", " 'll", "!'ve", "'LL", "1're"]
     for text in [f"we{t}{end}" for t in tails for end in (" go", "", "x", "\n")]:
         want = library.encode(text, add_special_tokens=False).ids
         for i in range(len(text) + 1):
-            assert list(bpe.stream_ids(v, look, [text[:i], text[i:]])) == want, (text, i)
-        assert list(bpe.stream_ids(v, look, text)) == want, text
+            assert streamed(path, [text[:i], text[i:]]) == want, (text, i)
+        assert streamed(path, text, 2) == streamed(path, text) == want, text
 
 
 def test_decoder_takes_single_ids_and_bad_bytes(path, library):
@@ -459,21 +494,35 @@ def test_feistel_is_a_permutation():
 def test_shards_hold_every_sequence(docs, path, library, tmp_path):
     out = f"file://{tmp_path}/shards"
     index = training_order.materialise(docs, path, seed=9, length=32, slots_per_shard=100, out=out).collect()
-    want = []
-    for r in docs.collect():
-        ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [50256]
-        k = training_order.NO_KEY if r["doc_id"] is None else r["doc_id"]
-        want += [(k, p, tuple(ids[s : s + 32])) for p, s in enumerate(range(0, len(ids), 32))]
-    got = list(training_order.read_slots(out))
-    assert [g[0] for g in got] == list(range(len(want)))
-    assert sorted((k, p, tuple(map(int, ids))) for _, k, p, ids in got) == sorted(want)
-    assert sorted(r["slot"] for r in index) == list(range(len(want)))
+    rows, each = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect())), {}
+    stream = []
+    for known, k, t in rows:
+        ids = library.encode(t, add_special_tokens=False).ids + [50256]
+        each[k if known else None] = ids
+        stream += ids
+    want = [tuple(stream[i : i + 32]) for i in range(0, len(stream), 32)]
+    slots = training_order.feistel(np.arange(len(want)), len(want), 9)
+    got = {slot: tuple(ids.tolist()) for slot, ids in training_order.read_slots(out)}
+    assert got == dict(zip(slots.tolist(), want, strict=True))
+    assert sum(r["n_tokens"] for r in index) == len(stream) and {r["slot"] for r in index} == set(got)
     for r in index:
-        _, k, p, ids = got[r["slot"]]
-        assert (r["doc_id"] is None and k == training_order.NO_KEY or r["doc_id"] == k) and (p, len(ids)) == (r["piece"], r["n_tokens"])
-        assert r["shard"] == r["slot"] // 100 and r["byte_offset"] == r["slot"] % 100 * (16 + 64)
+        ids = each[r["doc_id"]][r["start"] : r["start"] + r["n_tokens"]]
+        assert got[r["slot"]][r["offset"] : r["offset"] + r["n_tokens"]] == tuple(ids)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u2").tobytes())
+        assert r["shard"] == r["slot"] // 100 and r["byte_offset"] == r["slot"] % 100 * 64
     assert [g[0] for g in training_order.read_slots(out, 150, 120)] == list(range(150, 270))
-    assert json.loads((tmp_path / "shards/manifest.json").read_text())["shards"] == math.ceil(len(want) / 100)
+    manifest = json.loads((tmp_path / "shards/manifest.json").read_text())
+    assert manifest["shards"] == math.ceil(len(want) / 100) and manifest["tokens"] == len(stream)
+    assert sorted(x.name for x in (tmp_path / "shards").iterdir()) == ["manifest.json", *(f"shard-{i:06d}.bin" for i in range(manifest["shards"]))]
+
+
+def test_training_order_is_the_same_under_other_splits(docs, path, tmp_path):
+    found = []
+    for n, split in enumerate((docs.coalesce(1), docs.repartition(5, "text"), docs.orderBy("text"))):
+        out = f"file://{tmp_path}/{n}"
+        training_order.materialise(split, path, seed=4, length=16, slots_per_shard=64, out=out)
+        found.append({f.name: f.read_bytes() for f in (tmp_path / str(n)).iterdir()})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 3
 
 
 # -- classifiers ---------------------------------------------------------------------------------------------------
