@@ -21,20 +21,29 @@ SPELT = {"Æ": "AE", "æ": "ae", "Ø": "O", "ø": "o", "ß": "ss", "Œ": "OE", "
 SEARCH_COLUMNS = ["description", "trans_type", "bank_name", "branch_name", "account_no", "cheque", "reference", "batch_number", "tracer_number", "instrument_number", "trans_code", "branch_code"]
 
 
+# Characters that Python's strip() takes away.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """c without white space of any kind at its ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def present(c: Column) -> Column:
     """c trimmed, null where it is one of the words for null."""
-    t = F.trim(c)
+    t = strip(c)
     return F.when(~F.lower(t).isin(NULL_WORDS), t)
 
 
 def is_float(c: Column) -> Column:
     """Whether Python's float() takes the text once trimmed and rid of commas; false for null."""
-    return F.coalesce(F.regexp_replace(F.trim(c), ",", "").rlike(FLOAT), F.lit(False))
+    return F.coalesce(F.regexp_replace(strip(c), ",", "").rlike(FLOAT), F.lit(False))
 
 
 def to_float(c: Column) -> Column:
     """That number, null where there is none. Digits grouped by underscores count, a trailing d or f doesn't."""
-    t = F.regexp_replace(F.trim(c), "[,_]", "")
+    t = F.regexp_replace(strip(c), "[,_]", "")
     return F.when(is_float(c), t.try_cast("double"))
 
 
@@ -53,7 +62,7 @@ def parse_integer(c: Column) -> Column:
 
 
 def parse_boolean(c: Column) -> Column:
-    t = F.lower(F.trim(c))
+    t = F.lower(strip(c))
     return F.when(t.isin(TRUE_WORDS), True).when(t.isin(FALSE_WORDS), False)
 
 

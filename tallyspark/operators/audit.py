@@ -73,7 +73,8 @@ def real_text(c: Column, sentinels: list[str]) -> Column:
 
 
 def whole_word(c: Column, word: str) -> Column:
-    return c.rlike(rf"(?i)\b{word}\b")
+    """Whether the text holds the word with no letter, digit or underscore beside it, in any script."""
+    return c.rlike(rf"(?i)(?<![\p{{L}}\p{{N}}_]){word}(?![\p{{L}}\p{{N}}_])")
 
 
 def profile(t: DataFrame, columns: list[str]) -> DataFrame:

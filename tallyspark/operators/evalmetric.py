@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import FLOAT
+from ..functions.scalars import FLOAT, strip
 
 TOLERANCE = 0.01
+#: Texts without a point are numbers if they are whole ones.
+WHOLE = r"^[+-]?\d+(_\d+)*$"
 #: An empty result may stand as this one cell.
 EMPTY = "no query results"
 
@@ -27,8 +29,8 @@ def canonical_cell(c: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(c, "yyyy-MM-dd")
     else:
-        t = F.trim(c.cast("string"))
-        numeric = t.rlike(FLOAT)
+        t = strip(c.cast("string"))
+        numeric = F.when(t.contains("."), t.rlike(FLOAT)).otherwise(t.rlike(WHOLE))
         number = F.when(numeric, F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
         text = F.when(~numeric, F.lower(t))
     return F.struct(number.alias("n"), text.alias("s"))
@@ -38,13 +40,22 @@ def canonical_rows(df: DataFrame) -> DataFrame:
     return df.select(F.array(*(canonical_cell(F.col(f"`{f.name}`"), f.dataType) for f in df.schema)).alias("cells"))
 
 
-def align(pred: DataFrame, gold: DataFrame) -> DataFrame | None:
-    """``pred`` in the gold columns' order by name, else by position; None for another number of columns."""
-    name = lambda c: c.strip().lower()
-    p, g = [name(c) for c in pred.columns], [name(c) for c in gold.columns]
+def plain_name(c: str) -> str:
+    return c.strip().lower()
+
+
+def aligned_columns(pred: list[str], gold: list[str]) -> list[str] | None:
+    """The columns of ``pred`` in the gold columns' order by name, else by position; None for another number of columns."""
+    p, g = [plain_name(c) for c in pred], [plain_name(c) for c in gold]
     if sorted(p) == sorted(g) and len(set(p)) == len(p):
-        return pred.select(*(F.col(f"`{pred.columns[p.index(c)]}`") for c in g))
-    return pred.toDF(*gold.columns) if len(p) == len(g) else None
+        return [pred[p.index(c)] for c in g]
+    return list(pred) if len(p) == len(g) else None
+
+
+def align(pred: DataFrame, gold: DataFrame) -> DataFrame | None:
+    """``pred`` with the gold columns, by name or else by position; None for another number of columns."""
+    names = aligned_columns(pred.columns, gold.columns)
+    return None if names is None else pred.select(*(F.col(f"`{c}`") for c in names)).toDF(*gold.columns)
 
 
 def exact_matches(pred: DataFrame, gold: DataFrame) -> DataFrame:
@@ -150,7 +161,7 @@ def scores(counts: DataFrame) -> DataFrame:
 
 
 def order_key(sql: str) -> str | None:
-    """The first term of the last ORDER BY, without direction, qualifier or function; None if that is no name."""
+    """The first term of the last ORDER BY, without direction, qualifier or function, in lower case; None if that is no name."""
     text = re.sub(r"/\*.*?\*/", " ", re.sub(r"--[^\n]*", " ", sql), flags=re.S)
     if not (found := list(re.finditer(r"\border\s+by\b", text, re.I))):
         return None
@@ -165,27 +176,34 @@ def order_key(sql: str) -> str | None:
     while m := re.fullmatch(r"\w+\s*\((.*)\)", term, re.S):
         term = m[1].split(",")[0].strip()
     term = term.rpartition(".")[2].strip('"` ')
-    return term if re.fullmatch(r"[A-Za-z_]\w*", term) else None
+    return term.lower() if re.fullmatch(r"[A-Za-z_]\w*", term) else None
 
 
-def in_order(pred: DataFrame, gold: DataFrame, key: str, pos: str = "pos") -> bool:
-    """Whether ``pred`` is sorted by ``key`` in the direction of ``gold``, ties free; ``pos`` holds the rows' places.
+def in_order(pred: DataFrame, gold: DataFrame, key: str | None, pos: str = "pos") -> bool:
+    """Whether ``pred`` is sorted as ``gold`` is, ties free; both have the same columns, and ``pos`` holds the rows' places.
 
-    A gold column that is constant or in no order asks for nothing; a null in ``pred`` fails.
+    The column is ``key`` where gold has it, in the direction of gold's rows; one that is constant or in no order asks for
+    nothing. Else it is the first gold column without nulls that rises or falls. A null in ``pred`` fails.
     """
-
-    def steps(df: DataFrame):
-        kind = df.schema[key].dataType
-        v = canonical_cell(F.col(key), kind)
-        before = F.lag("v").over(Window.orderBy(pos))
-        s = df.select(v.alias("v"), pos).withColumn("u", before)
-        return s.agg(F.coalesce(F.bool_and(F.col("v") >= F.col("u")), F.lit(True)), F.coalesce(F.bool_and(F.col("v") <= F.col("u")), F.lit(True)), F.coalesce(F.bool_or(F.col("v.n").isNull() & F.col("v.s").isNull()), F.lit(False))).first()
-
-    up, down, _ = steps(gold)
-    if up == down:
+    names = [c for c in gold.columns if c != pos]
+
+    def steps(df: DataFrame, columns: list[str]) -> list[tuple[bool, bool, bool]]:
+        """(rises, falls, has a null) of each column."""
+        cells = df.select(pos, *(canonical_cell(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"v{i}") for i, c in enumerate(columns)))
+        w, out = Window.orderBy(pos), []
+        for i in range(len(columns)):
+            v, cells = F.col(f"v{i}"), cells.withColumn(f"u{i}", F.lag(f"v{i}").over(w))
+            out += [F.coalesce(F.bool_and(v >= F.col(f"u{i}")), F.lit(True)), F.coalesce(F.bool_and(v <= F.col(f"u{i}")), F.lit(True)), F.coalesce(F.bool_or(v["n"].isNull() & v["s"].isNull()), F.lit(False))]
+        row = cells.agg(*(x.alias(f"x{i}") for i, x in enumerate(out))).first()
+        return [tuple(row[3 * i : 3 * i + 3]) for i in range(len(columns))]
+
+    chosen = next((c for c in names if key is not None and plain_name(c) == key), None)
+    columns = [chosen] if chosen else names
+    found = [(c, up) for c, (up, down, hole) in zip(columns, steps(gold, columns), strict=True) if up != down and (chosen or not hole)]
+    if not found:
         return True
-    rises, falls, hole = steps(pred)
-    return not hole and (rises if up else falls)
+    rises, falls, hole = steps(pred, [found[0][0]])[0]
+    return not hole and (rises if found[0][1] else falls)
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -203,16 +221,16 @@ def compare(pred: DataFrame, gold: DataFrame, sql: str = "", order_matters: bool
     p, g = drop(pred), drop(gold)
     pe, ge = is_empty(p), is_empty(g)
     spark, ordered = gold.sparkSession, True
-    aligned = None if pe or ge else align(p, g)
-    if pe or ge or aligned is None:
+    names = None if pe or ge else aligned_columns(p.columns, g.columns)
+    if names is None:
         n = (0, 0 if pe else p.count(), 0 if ge else g.count())
         counts = spark.createDataFrame([n], "tp long, fp long, fn long")
-        ordered = pe and ge
+        ordered = pe or ge
     else:
-        counts = tolerant_matches(aligned, g)
-        key = order_key(sql) if order_matters else None
-        if key and pos and key in g.columns:
-            ordered = in_order(align(p, g).withColumn(pos, F.lit(0)) if pos not in pred.columns else pred, gold, key, pos)
+        counts = tolerant_matches(align(p, g), g)
+        if order_matters and pos:
+            place = F.col(pos) if pos in pred.columns else F.lit(0)
+            ordered = in_order(pred.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(names, g.columns, strict=True)), place.alias(pos)), gold, order_key(sql), pos)
     out = scores(counts).first().asDict()
     match = out["fp"] == out["fn"] == 0
     return out | {"order_satisfied": int(ordered), "execution_accuracy": int(match and (ordered or not order_matters)), "exact_match": int(match)}

@@ -44,10 +44,10 @@ def digits(v: Column) -> Column:
 
 
 def variations(v: Column) -> Column:
-    """v and every number that its digits make with the point elsewhere, in rising order."""
-    d = digits(v)
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(d) - 1, F.lit(1))), lambda i: F.concat(F.substring(d, F.lit(1), i), F.lit("."), F.substring(d, i + 1, F.lit(99))).cast("double"))
-    return F.array_sort(F.array_distinct(F.concat(F.array(v), F.when(F.length(d) > 1, cut).otherwise(F.array().cast("array<double>")))))
+    """v and every number of its sign that its digits make with the point elsewhere, in rising order; 0 alone for 0."""
+    d, sign = digits(v), F.when(v < 0, -1.0).otherwise(1.0)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(d) - 1, F.lit(1))), lambda i: F.concat(F.substring(d, F.lit(1), i), F.lit("."), F.substring(d, i + 1, F.lit(99))).cast("double") * sign)
+    return F.array_sort(F.array_distinct(F.concat(F.array(v), F.when((F.length(d) > 1) & (v != 0), cut).otherwise(F.array().cast("array<double>")))))
 
 
 def reconcile(rows: DataFrame, dated: Column | None = None) -> DataFrame:

@@ -20,7 +20,9 @@ def normalised(v: Column) -> Column:
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", qid: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """(qid, rank, key, score): the k greatest inner products of unit vectors, score rounded to 6, ties to the smaller key.
+    """(qid, rank, key, score): the k greatest inner products of unit vectors, ties to the smaller key; score rounded to 6.
+
+    Ranks go by the score to 12 digits, which leaves out what the order of a sum changes.
 
     A block of at most QUERY_BLOCK queries goes to the tasks as one matrix; each task keeps k rows a query, so what is
     shuffled is k rows a query and task. Null vectors take no part.
@@ -43,7 +45,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id"
             for p in batches:
                 if not len(p):
                     continue
-                s, keys = np.round(q @ unit(p["v_"]).T, 6), p["k_"].to_numpy()
+                s, keys = np.round(q @ unit(p["v_"]).T, 12), p["k_"].to_numpy()
                 for i, y in zip(ids, s, strict=True):
                     best = np.lexsort((keys, -y))[:k]
                     yield pd.DataFrame({"q_": i, "k_": keys[best], "score": y[best]})
@@ -53,7 +55,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id"
     if out is None:
         return spark.createDataFrame([], f"{qid} long, rank int, {key} {width}, score double")
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("q_").orderBy(F.desc("score"), "k_"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("q_").alias(qid), "rank", F.col("k_").alias(key), "score")
+    return ranked.select(F.col("q_").alias(qid), "rank", F.col("k_").alias(key), F.round("score", 6).alias("score"))
 
 
 def page_of(image: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_float, to_float
+from ..functions.scalars import is_float, strip, to_float
 
 
 def no_null_cells(cells: Column) -> Column:
@@ -14,7 +14,7 @@ def no_null_cells(cells: Column) -> Column:
 
 def clean_cell(x: Column) -> Column:
     """Trimmed, <br> as line breaks, and of several dots in a number only the last kept."""
-    t = F.regexp_replace(F.trim(x), r"<br( ?/)?>", "\n")
+    t = F.regexp_replace(strip(x), r"<br( ?/)?>", "\n")
     return F.when(t.rlike(r"^[0-9,.]*$"), F.regexp_replace(t, r"\.(?=.*\.)", "")).otherwise(t)
 
 
@@ -56,8 +56,8 @@ def after_header(rows: DataFrame, headers: list[str], table: list[str]) -> DataF
 
 def valid_row(cells: Column, n: int, credit: Column, debit: Column, balance: Column) -> Column:
     """Whether a row can be a transaction or a continuation of one."""
-    number = lambda c: (F.trim(c) == "") | is_float(c)
-    empty = lambda c: F.trim(c) == ""
+    number = lambda c: (strip(c) == "") | is_float(c)
+    empty = lambda c: strip(c) == ""
     value = lambda c: F.coalesce(to_float(c), F.lit(0.0))
     return (
         (F.size(cells) == n)
@@ -73,8 +73,8 @@ def stitch_pages(rows: DataFrame, continues: Column) -> DataFrame:
     """Joins a page's first row, where it is a continuation, onto the last row of the page before.
 
     Within a run of pages that are one continuation row only, every second merges: page i merges iff the number of
-    directly preceding such pages (the first page apart) is even. ``page_index`` numbers the pages with rows before
-    any is merged away.
+    directly preceding such pages (the first page apart) is even. ``page_index`` numbers the pages with rows from 1, before
+    any is merged away. Of two parts that are joined both are trimmed.
     """
     file = Window.partitionBy("file")
     numbered = rows.withColumn("page_index", F.dense_rank().over(file.orderBy("page")) - 1)
@@ -87,6 +87,6 @@ def stitch_pages(rows: DataFrame, continues: Column) -> DataFrame:
     heads = heads.withColumn("merge_", F.col("hc_") & (F.col("page_index") >= 1) & (run % 2 == 0))
     heads = heads.withColumn("next_", F.lead(F.when(F.col("merge_"), F.col("head_"))).over(order))
     out = numbered.join(heads.select("file", "page_index", "merge_", "next_"), ["file", "page_index"])
-    joined = F.zip_with("cells", "next_", lambda a, b: F.when(F.coalesce(b, F.lit("")) == "", a).when(F.coalesce(a, F.lit("")) == "", b).otherwise(F.concat_ws(" ", a, b)))
+    joined = F.zip_with("cells", "next_", lambda a, b: F.when(F.coalesce(b, F.lit("")) == "", F.coalesce(a, F.lit(""))).otherwise(F.concat(strip(F.coalesce(a, F.lit(""))), F.lit(" "), strip(b))))
     out = out.withColumn("cells", F.when((F.col("r_") == F.col("n_")) & F.col("next_").isNotNull(), joined).otherwise(F.col("cells")))
-    return out.where(~(F.col("merge_") & (F.col("r_") == 1))).drop("n_", "r_", "c_", "merge_", "next_")
+    return out.where(~(F.col("merge_") & (F.col("r_") == 1))).drop("n_", "r_", "c_", "merge_", "next_").withColumn("page_index", F.col("page_index") + 1)

@@ -111,7 +111,8 @@ class Strategy:
         return Strategy(kind, "self_correcting" in name)
 
 
-STRATEGIES = ["plain", "self_correcting", "structured_rag", "unstructured_rag", "structured_rag_self_correcting", "unstructured_rag_self_correcting"]
+# The names of the strategies.
+STRATEGIES = ["zero_context_sql", "unstructured_rag_sql", "structured_rag_sql", "self_correcting_sql", "self_correcting_structured_rag_sql"]
 
 RULES = [
     "Use only the columns of the schema; there is no balance and no amount column.",
@@ -132,8 +133,8 @@ def generator_prompt(question: str, schema: str, domain: str = "", context: str
     return "\n\n".join(f"## {k}\n{v}" for k, v in parts if v)
 
 
-def validator_prompt(question: str, query: str, preview: str, count: int, schema: str, domain: str = "", history: list[str] = ()) -> str:
-    parts = [("Schema", schema), ("Domain", domain), ("Question", question), ("Query", query), ("Rows", str(count)), ("Preview", preview), ("Earlier remarks", "\n".join(history)), ("Check that", "\n".join(AUDIT))]
+def validator_prompt(question: str, query: str, preview: str, count: int, schema: str, domain: str = "", history: list[str] = (), context: str = "", reasoning: str = "", last: bool = False) -> str:
+    parts = [("Schema", schema), ("Domain", domain), ("Context", context), ("Question", question), ("Query", query), ("Reasoning of its author", reasoning), ("Rows", str(count)), ("Preview", preview), ("Earlier remarks", "\n".join(history)), ("Check that", "\n".join(AUDIT)), ("Last attempt", "This is the last attempt: reject only what a corrected query mends." if last else "")]
     return "\n\n".join(f"## {k}\n{v}" for k, v in parts if v)
 
 
@@ -174,25 +175,26 @@ class Agent:
     def _loop(self, question: str, context: str) -> Response:
         said: list[str] = []  # to the generator
         remarks: list[str] = []  # to the validator
-        pending: str | None = None
+        pending: tuple[str, DataFrame, str, int] | None = None  # a corrected query that has run
         for n in range(1, self.attempts + 1):
             if pending is None:
                 try:
-                    query = self.model.generate(generator_prompt(question, self.schema, self.domain, context, said)).query
+                    g = self.model.generate(generator_prompt(question, self.schema, self.domain, context, said))
+                    query, why = g.query, g.reasoning
                     if not query.strip():
                         raise ValueError("no query was given")
                 except Exception as e:
                     said.append(f"generation failed: {e}")
                     continue
+                try:
+                    df, preview, count = self._try(query)
+                except Exception as e:
+                    said.append(f"{query}\nfailed: {e}")
+                    continue
             else:
-                query, pending = pending, None
-            try:
-                df, preview, count = self._try(query)
-            except Exception as e:
-                said.append(f"{query}\nfailed: {e}")
-                continue
+                (query, df, preview, count), pending, why = pending, None, ""
             try:
-                v = self.model.validate(validator_prompt(question, query, preview, count, self.schema, self.domain, remarks))
+                v = self.model.validate(validator_prompt(question, query, preview, count, self.schema, self.domain, remarks, context, why, n == self.attempts))
             except Exception as e:
                 remarks.append(f"validation failed: {e}")
                 continue
@@ -202,11 +204,11 @@ class Agent:
             remarks.append(f"{query}\nrejected: {v.error_message}")
             said.append(f"{query}\nrejected: {v.error_message}")
             try:
-                df, _, count = self._try(better)
+                df, preview, count = (df, preview, count) if better == query else self._try(better)
             except Exception as e:
                 said.append(f"{better}\nfailed: {e}")
                 continue
             if n == self.attempts:
                 return Response(better, df, count, v.analysis_summary or "", metadata={"attempts": n, "validation_passed": False})
-            pending = better
+            pending = (better, df, preview, count)
         return Response("", None, 0, metadata={"attempts": self.attempts, "validation_passed": False, "error": said[-1] if said else "no attempt led to a result"})

@@ -22,33 +22,53 @@ def pieces(sql: str) -> list[tuple[bool, str]]:
     return [*out, (False, sql[at:])]
 
 
+#: A literal or quoted name that translate() has put aside, by its number.
+ASIDE = "\ue000(\\d+)\ue001"
+#: What is an integer by its look: numerals, counts, parts of dates, differences of dates, casts.
+INTEGER = r"(?:(?<![\w.])\d+(?![\w.])|\b(?:count|extract|dayofweek|year|month|day|datediff)\s*\([^()]*\)|[\w.]+\s*::\s*(?:int|integer|bigint|smallint)\b)"
+
+
 def translate(sql: str, date_columns: tuple[str, ...] = ("date", "value_date")) -> str:
     """Rewrites what means something else, or nothing, in Spark: day of week, month ends, to_char, date differences,
-    casts, ILIKE and regex signs, and the place of nulls in ORDER BY."""
-    s = "".join(t for _, t in pieces(sql)).strip().rstrip(";")
+    casts, ILIKE and regex signs, division of integers, and the place of nulls in ORDER BY. Literals and quoted names are
+    put aside first, so nothing in them changes but the formats and patterns that a rewritten call takes."""
+    aside: list[str] = []
+
+    def put(text: str) -> str:
+        aside.append(text)
+        return f"\ue000{len(aside) - 1}\ue001"
+
+    s = "".join(put(t) if quoted else t for quoted, t in pieces(sql)).strip().rstrip(";")
+    text = lambda m, i: aside[int(m[i])]
     d = "|".join(rf"(?:\w+\.)?{c}" for c in date_columns)
     s = re.sub(r"\bextract\s*\(\s*dow\s+from\s+([^()]+?)\s*\)", r"(dayofweek(\1) - 1)", s, flags=re.I)
-    s = re.sub(r"\(\s*date_trunc\s*\(\s*'month'\s*,\s*([^()]+?)\s*\)\s*\+\s*interval\s*'1 month\s*-\s*1 day'\s*\)(\s*::\s*date)?", r"last_day(\1)", s, flags=re.I)
+
+    def month_end(m: re.Match) -> str:
+        fits = text(m, 1).lower() == "'month'" and re.fullmatch(r"'1 month\s*-\s*1 day'", text(m, 3), re.I)
+        return f"last_day({m[2]})" if fits else m[0]
+
+    s = re.sub(rf"\(\s*date_trunc\s*\(\s*{ASIDE}\s*,\s*([^()]+?)\s*\)\s*\+\s*interval\s*{ASIDE}\s*\)(?:\s*::\s*date)?", month_end, s, flags=re.I)
 
     def to_char(m: re.Match) -> str:
-        f = m[2]
-        for a, b in FORMATS:
-            f = f.replace(a, b)
-        return f"date_format({m[1]}, '{f}')"
+        f = text(m, 2)
+        for x, y in FORMATS:
+            f = f.replace(x, y)
+        return f"date_format({m[1]}, {put(f)})"
 
-    s = re.sub(r"\bto_char\s*\(\s*([^(),]+?)\s*,\s*'([^']*)'\s*\)", to_char, s, flags=re.I)
-    s = re.sub(rf"\b({d})\s*-\s*({d})\b", r"datediff(\1, \2)", s, flags=re.I)
+    s = re.sub(rf"\bto_char\s*\(\s*([^(),]+?)\s*,\s*{ASIDE}\s*\)", to_char, s, flags=re.I)
+    s = re.sub(rf"(?<![\w.])({d})\s*-\s*({d})(?!\w)", r"datediff(\1, \2)", s, flags=re.I)
     s = re.sub(r"::\s*numeric\b(?!\s*\()", "::decimal(38,6)", s, flags=re.I)
-    s = re.sub(r"(\S+)\s*!~\*\s*('(?:[^']|'')*')", lambda m: f"NOT rlike({m[1]}, {bounds(m[2], '(?i)')})", s)
-    s = re.sub(r"(\S+)\s*~\*\s*('(?:[^']|'')*')", lambda m: f"rlike({m[1]}, {bounds(m[2], '(?i)')})", s)
-    s = re.sub(r"(\S+)\s+~\s*('(?:[^']|'')*')", lambda m: f"rlike({m[1]}, {bounds(m[2], '')})", s)
-    s = re.sub(r"(\S+)\s*/\s*(\d+)\b(?!\.)", r"\1 / \2", s)
-    return null_places(s)
+    for sign, how, flags in ((r"\s*!~\*\s*", "NOT rlike", "(?i)"), (r"\s*~\*\s*", "rlike", "(?i)"), (r"\s*!~\s*", "NOT rlike", ""), (r"\s*~\s*", "rlike", "")):
+        s = re.sub(rf"([^\s!~]+){sign}{ASIDE}", lambda m, how=how, flags=flags: f"{how}({m[1]}, {put(bounds(text(m, 2), flags))})", s)
+    s = re.sub(rf"({INTEGER})\s*/\s*({INTEGER})(?!\s*\()", r"\1 div \2", s, flags=re.I)
+    s = null_places(s)
+    return re.sub(ASIDE, lambda m: text(m, 1), s)
 
 
 def bounds(literal: str, flags: str) -> str:
     """A regex literal with word bounds spelled as here; as a raw string."""
-    return f"r{literal[0]}{flags}{literal[1:-1].replace(chr(92) + 'm', chr(92) + 'b').replace(chr(92) + 'M', chr(92) + 'b').replace(chr(92) + 'y', chr(92) + 'b')}{literal[-1]}"
+    pattern = re.sub(r"\\[mMy]", lambda m: r"\b", literal[1:-1])
+    return f"r{literal[0]}{flags}{pattern}{literal[-1]}"
 
 
 def null_places(s: str) -> str:

@@ -101,9 +101,9 @@ def _sentinel(s, d):
     return read(s, d, "orders").select("o_orderkey", v.alias("v")).where(audit.real_text(F.col("v"), SENTINELS))
 
 
-@query("search_word_boundary", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\bmit\b') AND NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query("search_word_boundary", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])mit([^\p{L}\p{N}_]|$)')")
 def _word(s, d):
-    return read(s, d, "documents").where(audit.whole_word(F.col("text"), "mit") & ~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id")
+    return read(s, d, "documents").where(audit.whole_word(F.col("text"), "mit")).select("doc_id")
 
 
 @query("search_text_build", "SELECT account_no, search_text, count(*) AS n FROM transactions GROUP BY account_no, search_text", ledger=True)
@@ -226,13 +226,7 @@ def _validity(s, d):
     return r.select("o_orderkey", F.size("cells").alias("n_cells"), rows.valid_row(F.col("cells"), 5, c(3), c(2), c(4)).alias("valid"))
 
 
-@query("cell_cleanup", "SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN 'pay' || chr(10) || 'ment' WHEN 2 THEN 'ab' WHEN 11 THEN '1234.50' END AS cell FROM orders WHERE o_orderkey % 12 IN (0, 2, 11)")
-def _cleanup(s, d):
-    r = _raw_rows(s, d).where("o_orderkey % 12 in (0, 2, 11)").withColumn("cells", rows.repaired(F.col("cells"), 5))
-    return r.select("o_orderkey", F.when(F.col("o_orderkey") % 12 == 11, F.col("cells")[3]).otherwise(F.col("cells")[1]).alias("cell"))
-
-
-@query("cell_cleanup_whole", "SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN 'pay' || chr(10) || 'ment' WHEN 1 THEN 'both' WHEN 2 THEN 'ab' WHEN 3 THEN 'wide' WHEN 4 THEN 'goes on' WHEN 5 THEN '.' WHEN 6 THEN 'balance only' WHEN 7 THEN 'no balance' WHEN 8 THEN 'zero' WHEN 9 THEN 'words' WHEN 11 THEN '1234.50' END AS cell FROM orders")
+@query("cell_cleanup", "SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN 'pay' || chr(10) || 'ment' WHEN 1 THEN 'both' WHEN 2 THEN 'ab' WHEN 3 THEN 'wide' WHEN 4 THEN 'goes on' WHEN 5 THEN '.' WHEN 6 THEN 'balance only' WHEN 7 THEN 'no balance' WHEN 8 THEN 'zero' WHEN 9 THEN 'words' WHEN 11 THEN '1234.50' END AS cell FROM orders")
 def _cleanup_whole(s, d):
     r = _raw_rows(s, d).withColumn("cells", rows.repaired(F.col("cells"), 5))
     return r.select("o_orderkey", F.when(F.col("o_orderkey") % 12 == 11, F.col("cells")[3]).otherwise(F.col("cells")[1]).alias("cell"))
@@ -251,7 +245,7 @@ def _header_reset(s, d):
     return rows.after_header(r, ["Date", "Balance"], ["o_custkey"]).select("o_custkey", "o_orderkey")
 
 
-@query("page_renumber", "SELECT conv_id, turn, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS page_index FROM conversations WHERE turn % 3 <> 1")
+@query("page_renumber", "SELECT conv_id, turn, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS page_index FROM conversations WHERE turn % 3 <> 1")
 def _renumber(s, d):
     r = read(s, d, "conversations").where("turn % 3 <> 1").select(F.col("conv_id").alias("file"), F.col("turn").alias("page"), F.lit(0).alias("row_idx"), F.array("text").alias("cells"))
     out = rows.stitch_pages(r, F.lit(False))
@@ -263,11 +257,11 @@ WITH p AS (SELECT conv_id, turn, text, role = 'user' AS c, row_number() OVER (PA
 b AS (SELECT *, max(CASE WHEN NOT (c AND i >= 1) THEN i END) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS brk FROM p),
 m AS (SELECT *, c AND i >= 1 AND (i - 1 - coalesce(brk, 0)) % 2 = 0 AS mg FROM b),
 n AS (SELECT *, lead(CASE WHEN mg THEN text END) OVER (PARTITION BY conv_id ORDER BY i) AS nxt FROM m)
-SELECT conv_id, turn, CASE WHEN coalesce(nxt, '') = '' THEN text WHEN text = '' THEN nxt ELSE text || ' ' || nxt END AS text FROM n WHERE NOT mg
+SELECT conv_id, turn, CASE WHEN coalesce(nxt, '') = '' THEN text ELSE trim(text, {w}) || ' ' || trim(nxt, {w}) END AS text FROM n WHERE NOT mg
 """
 
 
-@query("page_stitch", _STITCH)
+@query("page_stitch", _STITCH.replace("{w}", " || ".join(f"chr({ord(c)})" for c in scalars.WHITE)))
 def _stitch(s, d):
     r = read(s, d, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("page"), F.lit(0).alias("row_idx"), F.array("text").alias("cells"), (F.col("role") == "user").alias("user"))
     return rows.stitch_pages(r, F.col("user")).select(F.col("file").alias("conv_id"), F.col("page").alias("turn"), F.col("cells")[0].alias("text"))
@@ -284,12 +278,7 @@ def _mixed_commas(lines: DataFrame) -> DataFrame:
     return reconcile.comma_to_dot(r, "v").select("l_orderkey", "l_linenumber", "v")
 
 
-@query("column_comma_fix", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS v FROM lineitem WHERE l_orderkey % 50 = 0")
-def _comma(s, d):
-    return _mixed_commas(read(s, d, "lineitem").where("l_orderkey % 50 = 0"))
-
-
-@query("column_comma_fix_whole", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS v FROM lineitem")
+@query("column_comma_fix", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS VARCHAR) AS v FROM lineitem")
 def _comma_whole(s, d):
     return _mixed_commas(read(s, d, "lineitem"))
 
@@ -324,9 +313,7 @@ l AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY file ORDER BY event_id), 1000
 
 @query("reconcile_balance_check", _STATEMENT + "SELECT event_id, abs(b - (p + c - d)) <= 1e-9 * greatest(abs(b), abs(p + c - d)) AS balanced FROM l")
 def _check(s, d):
-    r = _statement(s, d).where("not (credit = 0 and debit = 0) and not (credit > 0 and debit > 0)")
-    before = F.coalesce(F.lag("balance").over(Window.partitionBy("file").orderBy("row_idx")), F.col("opening_balance"))
-    return r.select("event_id", reconcile.close(F.col("balance"), before + F.col("credit") - F.col("debit")).alias("balanced"))
+    return reconcile.reconcile(_statement(s, d)).select("event_id", (F.col("repair_kind") == "ok").alias("balanced"))
 
 
 @query("reconcile")
@@ -388,8 +375,8 @@ def _stats(s, d):
 
 _SCORES = """
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, q.label AS q_label, round(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 6) AS score FROM n q JOIN n c ON q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, q.label AS q_label, round(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 12) AS full_score FROM n q JOIN n c ON q.vec_id % 20 = 0),
+r AS (SELECT *, round(full_score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY full_score DESC, vec_id) AS rank FROM s)
 """
 
 

@@ -137,11 +137,48 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """The question set: a JSON array, numbered from 1."""
-    from pyspark.sql import Window
+    """The question set: one JSON array, numbered from 1 in the file's order (a multi-line file is one task's)."""
+    return spark.read.option("multiLine", True).json(path).withColumn("q_num", (F.monotonically_increasing_id() + 1).cast("int"))
 
-    df = spark.read.option("multiLine", True).json(path)
-    return df.withColumn("q_num", F.row_number().over(Window.orderBy("id")))
+
+def answer(df: DataFrame) -> DataFrame:
+    """An answer without the columns that are never shown."""
+    return df.drop(*(c for c in df.columns if c.lower() in INTERNAL))
+
+
+def attach_metadata(rows: DataFrame, meta: DataFrame, by: str = "file") -> DataFrame:
+    """Rows with what is known of their file: each metadata column fills a missing or null one of the rows; ``meta`` has one row
+    for each file, and rows of a file without one stay."""
+    names = [c for c in meta.columns if c != by]
+    known = meta.select(by, *(F.col(c).alias(f"meta_{c}") for c in names))
+    out = rows.join(known, by, "left")
+    for c in names:
+        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"meta_{c}")) if c in rows.columns else F.col(f"meta_{c}"))
+    return out.drop(*(f"meta_{c}" for c in names))
+
+
+def any_header(tables: list[tuple[list[str] | None, DataFrame]]) -> tuple[list[str] | None, DataFrame]:
+    """The rows (cells) of several tables in one, table_idx telling them apart, and the first header that any of them has."""
+    if not tables:
+        raise ValueError("no tables")
+    header = next((h for h, _ in tables if h), None)
+    out = None
+    for i, (_, rows) in enumerate(tables):
+        rows = rows.withColumn("table_idx", F.lit(i))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return header, out
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """A question's result as write_results left it; None where there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_results(df: DataFrame, path: str) -> None:

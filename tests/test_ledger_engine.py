@@ -40,7 +40,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted((tuple(map(plain, x)) for x in df.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize(("name", "table"), [("column_comma_fix_whole", "lineitem"), ("cell_cleanup_whole", "orders")])
+@pytest.mark.parametrize(("name", "table"), [("column_comma_fix", "lineitem"), ("cell_cleanup", "orders")])
 def test_every_row_is_repaired(spark, name, table):
     assert registry.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
@@ -82,7 +82,7 @@ def test_page_stitching_equals_a_loop(spark):
             if p and rs and rs[0][0] and emitted[-1][1]:
                 emitted[-1][1][-1][1] += " " + rs[0][1]
                 rs = rs[1:]
-            emitted.append((p, rs))
+            emitted.append((p + 1, rs))
         want[f"f{f}"] = [(p, r[1]) for p, rs in emitted for r in rs]
     df = spark.createDataFrame(data, "file string, page int, row_idx int, cells array<string>, c boolean")
     got = {}
@@ -101,8 +101,8 @@ def loop(file, opening):
 
     def variants(v):
         s = str(abs(v))
-        d = s.replace(".", "")
-        return sorted({v, *(float(d[:i] + "." + d[i:]) for i in range(1, len(d)))})
+        d, sign = s.replace(".", ""), -1 if v < 0 else 1
+        return sorted({v, *(sign * float(d[:i] + "." + d[i:]) for i in range(1, len(d)))}) if v else [v]
 
     for i, (c, d, b) in enumerate(file):
         if c == d == 0 or c > 0 and d > 0:
@@ -146,6 +146,17 @@ def test_reconciliation_equals_a_loop(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_overdrawn_balances_are_shifted_too(spark):
+    df = spark.createDataFrame([("f", 0, 0.0, 10.0, -600.0, -50.0), ("g", 0, 0.0, 0.0, 5.0, 5.0), ("g", 1, 1.0, 0.0, 60.0, 5.0)], "file string, row_idx int, credit double, debit double, balance double, opening_balance double")
+    got = {r["file"]: (r["repair_kind"], r["balance"]) for r in reconcile.reconcile(df).collect()}
+    assert got == {"f": ("shift", -60.0), "g": ("shift", 6.0)}
+
+
+def test_white_space_at_the_ends(spark):
+    assert column(spark, rows.clean_cell, ["\n5 \t", "\u00a0x\r\n", "\x1c"]) == ["5", "x", ""]
+    assert column(spark, scalars.to_float, ["\t5\n", "\u20031,000.5 "]) == [5.0, 1000.5]
+
+
 def test_chunk_pack_equals_a_loop(spark):
     rnd = random.Random(2)
     lines = {p: [" ".join("w" * 1 for _ in range(rnd.randint(1, 14))) for _ in range(rnd.randint(1, 9))] for p in range(30)}
@@ -184,8 +195,65 @@ def test_compare(spark):
     assert evalmetric.compare(gold.select("id"), gold.drop("pos"))["fp"] == 3
 
 
+def test_order_of_answers(spark):
+    gold = spark.createDataFrame([("a", 3, 0), ("b", 2, 1), ("c", 1, 2)], "name string, amount int, pos int")
+    turned = gold.withColumn("pos", 2 - F.col("pos"))
+    for sql in ("select name, amount from t order by Amount desc", "select name, amount from t order by 2 desc", "select * from t order by other"):
+        good, bad = (evalmetric.compare(x, gold, sql, True, "pos") for x in (gold, turned))
+        assert (good["execution_accuracy"], bad["execution_accuracy"], bad["exact_match"]) == (1, 0, 1), sql
+    named = turned.toDF("who", "how_much", "pos")
+    assert evalmetric.compare(named, gold, "select name, amount from t order by amount desc", True, "pos")["order_satisfied"] == 0
+    assert evalmetric.compare(gold.toDF("who", "how_much", "pos"), gold, "order by amount", True, "pos")["execution_accuracy"] == 1
+    assert evalmetric.compare(gold.limit(0), gold, "order by amount", True, "pos")["order_satisfied"] == 1
+    wide = evalmetric.compare(gold.withColumn("more", F.lit(1)), gold, "order by amount", True, "pos")
+    assert (wide["tp"], wide["order_satisfied"]) == (0, 0)
+
+
+def test_texts_that_are_numbers(spark):
+    def same(x, y):
+        one = lambda v: spark.createDataFrame([(v,)], "v string")
+        return evalmetric.compare(one(x), one(y))["exact_match"] == 1
+
+    assert same("100000", "100000.0") and same(" 1_000\n", "1000") and same("1.5e3", "1500")
+    assert not same("1e5", "100000") and same("NaN", "nan") and not same("1e5", "100000.0")
+
+
+def test_near_scores_rank_by_the_full_score(spark):
+    from tallyspark.operators import retrieve
+
+    e = spark.createDataFrame([(1, [1.0, 0.0011]), (2, [1.0, 0.0010]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert [r["vec_id"] for r in retrieve.top_k(e, q, 2).orderBy("rank").collect()] == [2, 1]
+
+
+def test_standardised_table(spark):
+    from tallyspark.operators.standardise import COLUMNS, standardise
+
+    df = spark.createDataFrame([("03/04/2020", "$1,234.50", "-", "123456 / AB", "\tpaid "), ("x", "", "(7)", "AB12", None)], "`Date` string, `Debit` string, `Credit` string, `Cheque / Reference` string, `Description` string")
+    out = standardise(df)
+    assert out.columns == [f.name for f in COLUMNS]
+    a, b = out.orderBy(F.col("date").desc_nulls_last()).collect()
+    assert (str(a["date"]), float(a["debit"]), a["credit"], a["cheque"], a["reference"], a["description"]) == ("2020-04-03", 1234.5, None, "123456", "AB", "paid")
+    assert (b["date"], b["debit"], float(b["credit"]), b["description"], b["bank_name"]) == (None, None, -7.0, None, None)
+
+
+def test_files_and_metadata(spark, tmp_path):
+    rows_ = spark.createDataFrame([("f", 1, None), ("g", 2, "own")], "file string, n int, bank_name string")
+    meta = spark.createDataFrame([("f", "known", "77"), ("g", "known", "88")], "file string, bank_name string, account_no string")
+    assert sorted(map(tuple, ledger.attach_metadata(rows_, meta).select("file", "n", "bank_name", "account_no").collect())) == [("f", 1, "known", "77"), ("g", 2, "own", "88")]
+    t = lambda x: spark.createDataFrame([(0, [x])], "row_idx int, cells array<string>")
+    header, both = ledger.any_header([(None, t("a")), (["h"], t("b")), (["i"], t("c"))])
+    assert header == ["h"] and sorted((r["table_idx"], r["cells"][0]) for r in both.collect()) == [(0, "a"), (1, "b"), (2, "c")]
+    assert ledger.answer(rows_.withColumn("search_text", F.lit(1)).withColumn("ID", F.lit(1))).columns == rows_.columns
+    assert ledger.read_results(spark, str(tmp_path / "none")) is None
+    ledger.write_results(rows_, str(tmp_path / "r"))
+    assert ledger.read_results(spark, str(tmp_path / "r")).count() == 2
+    (tmp_path / "q.json").write_text('[{"id": "z"}, {"id": "a"}, {"id": "m"}]')
+    assert [(r["q_num"], r["id"]) for r in ledger.read_questions(spark, str(tmp_path / "q.json")).orderBy("q_num").collect()] == [(1, "z"), (2, "a"), (3, "m")]
+
+
 def test_order_key():
-    assert evalmetric.order_key("select a from t order by sum(t.Amount) desc nulls last, b limit 5") == "Amount"
+    assert evalmetric.order_key("select a from t order by sum(t.Amount) desc nulls last, b limit 5") == "amount"
     assert evalmetric.order_key("select 1 -- order by x") is None and evalmetric.order_key("select a from t order by 1") is None
 
 
@@ -196,6 +264,10 @@ def test_dialect_traps(spark):
     assert run("SELECT k FROM t ORDER BY v, k DESC LIMIT 2") == [(2,), (3,)]
     assert run("SELECT k FROM t WHERE extract(dow from date) = 5") == [(1,), (2,)]
     assert run("SELECT to_char(date, 'MM-DD') FROM t WHERE k = 2") == [("06-07",)]
+    assert run("SELECT 'date - value_date' AS a, 'x ORDER BY y' AS b, 'a ~* ''b''' AS c, '7 / 2' AS e FROM t ORDER BY k LIMIT 1") == [("date - value_date", "x ORDER BY y", "a ~* 'b'", "7 / 2")]
+    assert run("SELECT 7 / 2 AS a, count(*) / 2 AS b FROM t") == [(3, 1)] and float(run("SELECT 7 / 2.0 AS c")[0][0]) == 3.5
+    assert run("SELECT k FROM t WHERE 'Big MIT' ~* '\\mmit\\M' AND NOT 'x' ~ 'y' AND k = 1") == [(1,)]
+    assert run("SELECT (date_trunc('month', date) + interval '1 month - 1 day')::date = date FROM t WHERE k = 1") == [(True,)]
     for bad in ("DELETE FROM t", "/* x */ drop table t", "CREATE TABLE x AS SELECT 1", "SHOW TABLES", "SELECT 1; SELECT 2", "SET a=b"):
         assert dialect.read_only(spark, bad), bad
     for good in ("SELECT replace('update', 'u', 'x')", "SELECT 'drop table' AS x -- delete", "WITH a AS (SELECT 1 AS x) SELECT * FROM a"):
@@ -226,7 +298,7 @@ def test_agent_once_and_strategies(spark):
     r = agent.Agent(spark, agent.Scripted([G("SELECT 1 AS x")]), "s").run("q")
     assert r.total_count == 1
     assert "error" in agent.Agent(spark, agent.Scripted([G("INSERT INTO t VALUES (1)")]), "s").run("q").metadata
-    assert agent.Strategy.named("unstructured_rag_self_correcting") == agent.Strategy("unstructured", True) and agent.Strategy.named("plain") == agent.Strategy(None, False)
+    assert [agent.Strategy.named(n) for n in agent.STRATEGIES] == [agent.Strategy(*x) for x in ((None, False), ("unstructured", False), ("structured", False), (None, True), ("structured", True))]
 
 
 def test_retrying_clients():
