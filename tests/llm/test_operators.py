@@ -595,6 +595,46 @@ def test_quality_never_learns_held_out_labels(spark):
     assert one == two
 
 
+def test_quality_equals_a_dense_fit(spark):
+    """All of it with dense matrices and plain loops on one small table: features, ridge by folds, isotonic, interpolation."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r["doc_id"]: r for r in quality.quality_scores(docs, labels).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    stats = {k: np.array(quality.statistics(t), np.float32).astype(float) for k, t in texts.items()}
+    fold = {r["k"]: r["f"] for r in spark.createDataFrame([(k,) for k in known], "k long").selectExpr("k", "pmod(xxhash64(k), 3) as f").collect()}
+    ids = sorted(known)
+    x, y, f = np.array([stats[k] for k in ids]), np.array([known[k] for k in ids], float), np.array([fold[k] for k in ids])
+    rng = np.random.default_rng(quality.SEED)
+    w = rng.normal(0, math.sqrt(2 * quality.WIDTH), (x.shape[1], quality.D))
+    phase = rng.uniform(0, 2 * math.pi, quality.D)
+    mean, std = x.mean(0), x.std(0)
+
+    def features(v):
+        v = np.clip((v - mean) / np.where(std > 1e-9, std, 1), -6, 6)
+        return np.hstack([np.cos(v @ w + phase) * math.sqrt(2 / quality.D), v / math.sqrt(x.shape[1]), np.ones((len(v), 1))])
+
+    def ridge(z, y, weight):
+        # least squares on rows with the penalty's rows below, no normal equations
+        penalty = np.sqrt(np.append(np.full(z.shape[1] - 1, quality.RIDGE), 1e-6))
+        a = np.vstack([z * np.sqrt(weight)[:, None], np.diag(penalty)])
+        return np.linalg.lstsq(a, np.append(y * np.sqrt(weight), np.zeros(z.shape[1])), rcond=None)[0]
+
+    z, weight = features(x), np.where(y > 0.5, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    beta = ridge(z, y, weight)
+    raw = np.array([z[i] @ ridge(z[f != f[i]], y[f != f[i]], weight[f != f[i]]) for i in range(len(y))])
+    cell = np.clip(np.floor((raw + 0.5) * 2048), 0, 4095)
+    at = np.unique(cell)
+    n, ones = np.array([(cell == c).sum() for c in at]), np.array([y[cell == c].sum() for c in at])
+    # isotonic fit by its min-max formula
+    level = np.array([max(min(ones[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))])
+    want = np.interp(features(np.array([stats[k] for k in sorted(texts)])) @ beta, (at + 0.5) / 2048 - 0.5, level)
+    apart = [abs(got[k]["score"] - s) for k, s in zip(sorted(texts), want, strict=True)]
+    # a raw score on the edge of a grid cell may fall to either side
+    assert np.mean(np.array(apart) < 1e-3) > 0.95, sorted(apart)[-10:]
+    assert all(r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0, 1, 0, 1.0]), np.ones(4))
     assert list(x) == [1, 2, 3, 4] and list(y) == [0, 0.5, 0.5, 1]
@@ -636,7 +676,35 @@ def test_pipeline_stages_keep_columns(spark):
         assert out.columns == docs.columns, name
         ids = {r[0] for r in out.select("doc_id").collect()}
         assert 0.5 * docs.count() < len(ids) <= docs.count()
-    assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, names that operators use inside, and empty tables through every stage."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(25).collect()
+    rows = [tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in base]
+    odd = [(9001, None, None, None, None), (9002, "", "en", "s", 0), (None, "no key at all", "en", "s", 1), rows[0], (9003, rows[1][1], "en", "s", 1), (9004, LONG, "en", "s", len(LONG))]
+    clash = ["key_", "text_hash_", "gone_", "left_", "lines_dropped_", "piece_", "bits_", "at_", "same_", "kept", "held_out", "predicted", "component_id"]
+    docs = spark.createDataFrame([*rows, *odd], DOCS).selectExpr("*", *(f"'{c}' as {c}" for c in clash))
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        held = out.collect()
+        assert None in {r["doc_id"] for r in held} <= ids and all(r[c] == c for r in held for c in clash), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if name == "minhash_near_dedup":
+            left = {r["doc_id"] for r in held}
+            assert 9003 not in left and {9001, 9002, 9004} <= left
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    filled = {}
+    for r in packed:
+        filled[r["sequence_id"]] = filled.get(r["sequence_id"], 0) + r["length"]
+    assert max(filled.values()) <= 2048 and {r["doc_id"] for r in packed} >= {9001, 9004, None}
 
 
 def test_encoder_is_merging_and_the_library(path, library):
