@@ -133,7 +133,7 @@ def materialise(docs: DataFrame, path: str, seed: int, length: int = 256, end_id
     stride, beside = size * length, f"{shared_dir(spark)}/places-{uuid.uuid4().hex}"
     tokens = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     made = token_table(docs, path, end_id, key, text)
-    made.write.option("compression", "zstd").parquet(tokens)
+    made.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(tokens)
     held = spark.read.schema(made.schema).parquet(tokens)
     total = place_documents(held, beside)
     sequences = -(-total // length)
@@ -141,7 +141,7 @@ def materialise(docs: DataFrame, path: str, seed: int, length: int = 256, end_id
     save(f"{out}/manifest.json", json.dumps({"sequences": sequences, "tokens": total, "shards": shards, "slots_per_shard": slots_per_shard, "stride": stride, "id_bytes": size, "length": length, "seed": seed}).encode())
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack, part, first = zstandard.ZstdCompressor(level=3), None, None
+        pack, part, first = zstandard.ZstdCompressor(level=6), None, None
         rows, ids, n = [], [], 0
 
         def flush() -> pd.DataFrame:
