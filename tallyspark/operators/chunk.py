@@ -39,7 +39,7 @@ def csv_line(cells: Column) -> Column:
     return F.array_join(q, ",")
 
 
-def pack_rows(rows: DataFrame, header: Column, group: list[str], order: list[str], line: str = "line", limit: int = 512, stem: str | None = None) -> DataFrame:
+def pack_rows(rows: DataFrame, header: Column, group: list[str], order: list[str], line: str = "line", limit: int = 512) -> DataFrame:
     """(group, chunk_index, n_rows, n_tokens, body): rows of a page in order, packed while header and rows stay within the limit.
 
     A row over the limit is a chunk of its own; nothing overlaps. A page's rows fold in one pass over its sorted array;
@@ -62,3 +62,33 @@ def pack_rows(rows: DataFrame, header: Column, group: list[str], order: list[str
 
 def corpus_stats(df: DataFrame) -> DataFrame:
     return df.agg(F.countDistinct("image_filename").alias("pages"), F.countDistinct("chunk_id").alias("chunks"), F.countDistinct(F.when(F.col("query") != "", F.col("query"))).alias("queries"))
+
+
+def statement_chunks(df: DataFrame, limit: int = 512) -> DataFrame:
+    """The chunk corpus (chunk_id, text_description, image_filename, query) of the rows of many statements.
+
+    A statement is a file ("File Name" or file_name), a page "Page" or page; without them all is one file or page 1. Columns that
+    are null in a whole file leave its header. Rows go by Serial, serial, Date and date, those that there are, nulls first, and
+    by their line. Ids count chunks of a page from 1.
+    """
+    pick = lambda names, other: next((F.col(f"`{c}`") for c in names if c in df.columns), F.lit(other))
+    file = F.coalesce(pick(("File Name", "file_name"), "unknown_statement.pdf"), F.lit("unknown_statement.pdf"))
+    named = "File Name" if "File Name" in df.columns else "file_name"
+    fields = [c for c in df.columns if c != named]
+    order = [c for c in ("Serial", "serial", "Date", "date") if c in fields]
+    page = F.coalesce(pick(("Page", "page"), "1").cast("string"), F.lit(""))
+    rows = df.select(
+        file.alias("file_"), page.alias("page_"), *(F.col(f"`{c}`").alias(f"by{i}_") for i, c in enumerate(order)),
+        F.array(*(F.col(f"`{c}`").cast("string") for c in fields)).alias("cells_"),
+    )
+    used = rows.groupBy("file_").agg(F.array(*(F.count(F.col("cells_")[i]) > 0 for i in range(len(fields)))).alias("used_"))
+    rows = rows.join(used, "file_")
+    kept = lambda a: F.filter(a, lambda _, i: F.get("used_", i))
+    rows = rows.withColumn("line_", csv_line(kept(F.col("cells_")))).withColumn("header_", csv_line(kept(F.array(*map(F.lit, fields)))))
+    packed = pack_rows(rows, F.col("header_"), ["file_", "page_"], [*(f"by{i}_" for i in range(len(order)))], line="line_", limit=limit)
+    stem = F.regexp_replace(F.regexp_replace("file_", r"^.*/", ""), r"(?<=.)\.[^.]+$", "")
+    at = F.concat(stem, F.lit("_page_"), F.col("page_"))
+    return packed.select(
+        F.concat(at, F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.col("body").alias("text_description"),
+        F.concat(at, F.lit(".png")).alias("image_filename"), F.lit("").alias("query"),
+    )

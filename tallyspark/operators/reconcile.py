@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import to_float
+from ..functions.scalars import is_float, parse_date, to_float
 
 
 def close(a: Column, b: Column) -> Column:
@@ -50,6 +50,11 @@ def variations(v: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(v), F.when((F.length(d) > 1) & (v != 0), cut).otherwise(F.array().cast("array<double>")))))
 
 
+def has_date(cells: Column) -> Column:
+    """Whether any cell is a date with a year and not a number: what ``reconcile`` takes as ``dated``. False for null or no cells."""
+    return F.coalesce(F.exists(cells, lambda x: F.coalesce(~is_float(x) & parse_date(x).isNotNull(), F.lit(False))), F.lit(False))
+
+
 def reconcile(rows: DataFrame, dated: Column | None = None) -> DataFrame:
     """Repairs amounts by the running balance. Needs file, row_idx, credit, debit, balance, opening_balance (doubles).
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunk import preprocess
+
 #: Queries that one pass over the corpus scores; more are taken in several passes.
 QUERY_BLOCK = 4096
 
@@ -19,6 +21,20 @@ def normalised(v: Column) -> Column:
     return F.transform(d, lambda x: F.try_divide(x, norm))
 
 
+def view(corpus: DataFrame, kind: str = "text", encode: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The chunk corpus as a retriever reads it: (chunk_id, text), (chunk_id, tokens), or (chunk_id, embedding) by ``encode``."""
+    text = F.col("text_description")
+    if kind in ("text", "raw"):
+        return corpus.select("chunk_id", text.alias("text"))
+    if kind in ("tokens", "bm25"):
+        return corpus.select("chunk_id", preprocess(text).alias("tokens"))
+    if kind != "dense":
+        raise ValueError(f"no view of kind {kind}")
+    if encode is None:
+        raise ValueError("the dense view needs encode")
+    return corpus.select("chunk_id", encode(text).alias("embedding"))
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", qid: str = "query_id", vector: str = "embedding") -> DataFrame:
     """(qid, rank, key, score): the k greatest inner products of unit vectors, ties to the smaller key; score rounded to 6.
 

@@ -354,7 +354,17 @@ def _tokens(s, d):
     return read(s, d, "documents").select("doc_id", chunk.token_count(F.col("text")).alias("n"))
 
 
-@query("chunk_pack")
+_PACK = """
+WITH RECURSIVE l AS (SELECT *, concat_ws(',', l_orderkey, l_linenumber, l_returnflag, strftime(l_shipdate, '%Y %m %d')) AS line FROM lineitem),
+r AS (SELECT l_suppkey, line, len(string_split(line, ' ')) AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, line) AS i FROM l),
+c AS (SELECT l_suppkey, i, 1 AS k, n AS used FROM r WHERE i = 1
+    UNION ALL SELECT r.l_suppkey, r.i, CASE WHEN 1 + used + n > 64 THEN k + 1 ELSE k END, CASE WHEN 1 + used + n > 64 THEN n ELSE used + n END FROM c JOIN r ON r.l_suppkey = c.l_suppkey AND r.i = c.i + 1)
+SELECT l_suppkey, k AS chunk_index, count(*) AS n_rows, CAST(1 + sum(n) AS BIGINT) AS n_tokens, 'order,line,flag,date' || chr(10) || string_agg(line, chr(10) ORDER BY i) AS body
+FROM c JOIN r USING (l_suppkey, i) GROUP BY l_suppkey, k
+"""
+
+
+@query("chunk_pack", _PACK)
 def _pack(s, d):
     r = read(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", chunk.csv_line(F.array(*(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_returnflag")), F.date_format("l_shipdate", "yyyy MM dd"))).alias("line"))
     return chunk.pack_rows(r, F.lit("order,line,flag,date"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], limit=64)

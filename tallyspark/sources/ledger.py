@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,8 +175,6 @@ def any_header(tables: list[tuple[list[str] | None, DataFrame]]) -> tuple[list[s
 
 def read_results(spark: SparkSession, path: str) -> DataFrame | None:
     """A question's result as write_results left it; None where there is none."""
-    from pyspark.errors import AnalysisException
-
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
@@ -181,6 +183,19 @@ def read_results(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept at ``path``; where there is none, or it is empty or can't be read, ``make`` gives it and it is kept."""
+    try:
+        df = spark.read.parquet(path)
+        if not df.isEmpty():
+            return df
+    except (PySparkException, Py4JJavaError):  # any table that can't be read is made again
+        pass
+    made = make()
+    made.write.mode("overwrite").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """A question's result; an empty one keeps its schema."""
     df.coalesce(1).write.mode("overwrite").parquet(path)

@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import headers, scalars
-from tallyspark.operators import chunk, evalmetric, reconcile, rows
-from tallyspark.plans import agent, dialect, registry
+from tallyspark.operators import chunk, evalmetric, reconcile, retrieve, rows
+from tallyspark.plans import agent, dialect, gold, registry
 from tallyspark.sources import ledger
 
 SF = "/root/testdata/sf0.001"
@@ -325,3 +325,64 @@ def test_sources(spark, tmp_path):
     assert [r["cells"] for r in ledger.ocr_rows(spark, str(tmp_path / "o.json")).orderBy("row_idx").collect()] == [["a", None], ["b", "c"]]
     both = ledger.combine([spark.createDataFrame([(1,)], "`a ` int"), spark.createDataFrame([(2,)], "b int")], ["x", "y"])
     assert both.columns == ["a", "File Name", "b"]
+
+
+def test_rows_without_a_date_go(spark):
+    df = spark.createDataFrame([(0, ["x", "12.5", None]), (1, ["2024", "03/04/2024"]), (2, []), (3, None), (4, ["5 Mar 2023 "])], "i int, cells array<string>")
+    got = {r["i"]: r["d"] for r in df.select("i", reconcile.has_date(F.col("cells")).alias("d")).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: False, 4: True}
+    data = [("f", 0, 9.0, 0.0, 500.0, 0.0, ["a"]), ("f", 1, 7.0, 0.0, 900.0, 0.0, ["1/2/2024"])]
+    r = spark.createDataFrame(data, "file string, row_idx int, credit double, debit double, balance double, opening_balance double, cells array<string>")
+    assert [(x["row_idx"], x["repair_kind"]) for x in reconcile.reconcile(r, reconcile.has_date(F.col("cells"))).collect()] == [(1, "unreconciled")]
+
+
+def test_statement_chunks(spark):
+    data = [("d/a.b.pdf", 1, 2, "two, 2", None), ("d/a.b.pdf", 1, 1, "one", None), ("d/a.b.pdf", 2, 3, None, None), ("c.pdf", 1, 1, "x y z", "k"), (None, 1, 1, "q", None)]
+    df = spark.createDataFrame(data, "`File Name` string, Page int, Serial int, text string, cheque string")
+    got = {r["chunk_id"]: (r["text_description"], r["image_filename"], r["query"]) for r in chunk.statement_chunks(df).collect()}
+    assert got == {
+        "a.b_page_1_chunk_1": ('Page,Serial,text\n1,1,one\n1,2,"two, 2"', "a.b_page_1.png", ""),
+        "a.b_page_2_chunk_1": ("Page,Serial,text\n2,3,", "a.b_page_2.png", ""),
+        "c_page_1_chunk_1": ("Page,Serial,text,cheque\n1,1,x y z,k", "c_page_1.png", ""),
+        "unknown_statement_page_1_chunk_1": ("Page,Serial,text\n1,1,q", "unknown_statement_page_1.png", ""),
+    }
+    assert sorted(r["chunk_id"] for r in chunk.statement_chunks(df, limit=2).collect() if r["chunk_id"].startswith("a.b_page_1")) == ["a.b_page_1_chunk_1", "a.b_page_1_chunk_2"]
+    assert chunk.statement_chunks(df.limit(0)).count() == 0
+    assert [r["chunk_id"] for r in chunk.statement_chunks(spark.createDataFrame([("v",)], "t string")).collect()] == ["unknown_statement_page_1_chunk_1"]
+
+
+def test_views(spark):
+    c = spark.createDataFrame([("c1", "The Cash, the cash")], "chunk_id string, text_description string")
+    assert retrieve.view(c).first()["text"] == "The Cash, the cash"
+    assert retrieve.view(c, "bm25").first()["tokens"] == ["cash", "cash"]
+    assert retrieve.view(c, "dense", lambda t: F.array(F.length(t))).first()["embedding"] == [18]
+    for kind in ("dense", "other"):
+        with pytest.raises(ValueError):
+            retrieve.view(c, kind)
+
+
+def test_cache(spark, tmp_path):
+    path, made = str(tmp_path / "k"), []
+
+    def make(n):
+        made.append(n)
+        return spark.range(n)
+
+    assert ledger.cached(spark, path, lambda: make(0)).count() == 0
+    assert ledger.cached(spark, path, lambda: make(3)).count() == 3
+    assert ledger.cached(spark, path, lambda: make(5)).count() == 3 and made == [0, 3]
+    for f in glob.glob(path + "/*.parquet") + glob.glob(path + "/.*.crc"):
+        os.remove(f)
+    (tmp_path / "k" / "part-0.parquet").write_text("no parquet")
+    assert ledger.cached(spark, path, lambda: make(7)).count() == 7
+
+
+def test_gold_answers(spark, tmp_path):
+    qs = [{"id": "A_1", "ground_truth_sql": "SELECT 1 AS x, TIMESTAMP '2024-01-02 03:04:05' AS t"}, {"id": "A_2", "ground_truth_sql": "SELECT 1 AS x WHERE false"}, {"id": "A_3", "ground_truth_sql": "SELECT no_such"}, {"id": "A_4"}]
+    folder = str(tmp_path)
+    got = gold.materialise(spark, qs, folder)
+    assert {k: v.split(":")[0] for k, v in got.items()} == {"A_1": "written", "A_2": "written", "A_3": "failed", "A_4": "no sql"}
+    assert ledger.read_results(spark, folder + "/A_1").dtypes == [("x", "int"), ("t", "timestamp_ntz")]
+    assert ledger.read_results(spark, folder + "/A_2").columns == ["x"] and ledger.read_results(spark, folder + "/A_3") is None
+    assert set(gold.materialise(spark, qs[:2], folder).values()) == {"kept"}
+    assert gold.materialise(spark, qs, folder, force=True, limit=1) == {"A_1": "written"}
