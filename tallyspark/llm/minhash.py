@@ -8,10 +8,11 @@ give greater ones only.
 Equal shingle sets are one class, represented by their smallest id, before anything is compared, so a group of
 exact copies costs one row. Documents that share a band are candidates. Within a band's bucket it is links that
 count, not pairs: documents are first held against their bucket's smallest one, and pairs are only compared further
-while their ends lie in different components. What then is still apart is compared in full. Before texts are read,
-four bits of each signature value weed pairs out: at similarity J they differ with chance (1 - J) * 15 / 16, and a
-pair goes if more differ than most_apart() allows: 106 of the 384. Bands use the first 228 values. Two documents at the threshold 0.8 fail to share a band with probability
-(1 - 0.8^6)^38 = 1e-5 and the bits with 5e-6; above it with less. Six rows a band keep documents that merely share a long passage
+while their ends lie in different components. Before their texts are read, four bits of each signature value weed these
+pairs out: at similarity J they differ with chance (1 - J) * 15 / 16, and a pair goes if more differ than most_apart()
+allows: 106 of the 384. What then is still apart is joined by differences, see by_differences(): exactly, and without comparing
+all documents of a bucket with each other. Bands use the first 228 values. Two documents at the threshold 0.8 fail to share a band with probability
+(1 - 0.8^6)^38 = 1e-5; above it with less. Six rows a band keep documents that merely share a long passage
 (J around 0.3) out of each other's buckets.
 """
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, maybe_listed, python_rows, without, written
@@ -34,8 +35,10 @@ BANDS, ROWS, VALUES = 38, 6, 384
 U = np.uint64
 #: Elements whose permutations are held at once.
 CHUNK = 12_000
-#: Rounds against other bucket leaders before what is left is compared in full.
+#: Rounds against other bucket leaders before what is left is joined by differences.
 LEADER_ROUNDS = 2
+#: 64-bit words of a difference's parities, and elements of differences that a worker hands on at once.
+PARITY_WORDS, PORTION = 16, 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -237,22 +240,34 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int, key: str, text: str)
     return python_rows(rows_in, run, "key_ long, n_ long, f1_ long, f2_ long, bands_ array<long>, bits_ array<long>")
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` with a_text and b_text; ``texts`` has key_ and text_."""
+    side = lambda c: texts.select(F.col("key_").alias(c), F.col("text_").alias(f"{c}_text"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select(*pairs.columns, "a_text", "b_text")
+
+
+class Held:
+    """(key, text) -> its set; the sets of the documents seen last are kept, up to 4 million elements or one document."""
+
+    def __init__(self, k: int):
+        self.shingle, self.held = Shingler(k), OrderedDict()
+
+    def __call__(self, i: int, text: str) -> np.ndarray:
+        at, held = (i, text), self.held
+        if at in held:
+            held.move_to_end(at)
+            return held[at]
+        held[at] = s = self.shingle(text)
+        while len(held) > 2 and (len(held) > 500 or sum(map(len, held.values())) > 4_000_000):
+            held.popitem(last=False)
+        return s
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those (a, b) of ``pairs`` whose full sets have 100 * intersection >= percent * union; ``texts`` has key_ and text_."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, held = Shingler(k), OrderedDict()
-
-        def of(i: int, text: str) -> np.ndarray:
-            """Sets of the documents seen last, up to 4 million elements or one document."""
-            if i in held:
-                held.move_to_end(i)
-                return held[i]
-            held[i] = s = shingle(text)
-            while len(held) > 2 and (len(held) > 500 or sum(map(len, held.values())) > 4_000_000):
-                held.popitem(last=False)
-            return s
-
+        of = Held(k)
         for b in batches:
             good = []
             for i, j, x, y in zip(b["a"], b["b"], b["a_text"], b["b_text"], strict=True):
@@ -265,8 +280,79 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
             yield b.loc[good, ["a", "b"]]
 
-    side = lambda c: texts.select(F.col("key_").alias(c), F.col("text_").alias(f"{c}_text"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text").mapInPandas(run, "a long, b long")
+    return with_texts(pairs.select("a", "b"), texts).mapInPandas(run, "a long, b long")
+
+
+def parities(x: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """For each of 64 * words places whether an odd number of the elements fall on it, packed.
+
+    Two sets differ by no fewer elements than their parities by places.
+    """
+    n = 64 * words
+    return np.packbits(np.bincount((mix(x) % U(n)).astype(np.int64), minlength=n).astype(np.uint8) & 1).view(np.int64)
+
+
+def differences(under: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """For each (ref_, rep_, component) how the sets of rep_ and ref_ differ: see by_differences()."""
+    near, far = 100 - percent, 100 + percent
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Held(k)
+        for batch in batches:
+            rows, n = [], 0
+            for i, j, c, x, y in zip(batch["a"], batch["b"], batch["component"], batch["a_text"], batch["b_text"], strict=True):
+                r, s = of(i, x), of(j, y)
+                if not len(r) or not len(s):
+                    continue
+                d = np.setxor1d(r, s, assume_unique=True)
+                excess, bound = far * len(d) - near * len(s), near * len(r)
+                # shared differences that a link to a document of greater, or of smaller excess needs at least
+                index = max(1, -(-(excess + max(excess, bound + 1)) // (2 * far)))
+                probe = max(1, -((100 * near * len(s) - percent * excess) // (percent * far))) if percent else 1
+                rows.append((i, xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63), j, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), c, len(s), excess, excess <= bound, len(d) - index + 1, len(d) - probe + 1, len(d), parities(d), d.view(np.int64)))
+                n += len(d)
+                if n >= PORTION:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, n = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    names = ["ref_", "ref_set_", "rep_", "set_", "component", "n_", "excess_", "linked_", "index_", "probe_", "apart_", "parity_", "d_"]
+    kinds = {"linked_": "boolean", "parity_": "array<long>", "d_": "array<long>"}
+    pairs = under.select(F.col("ref_").alias("a"), F.col("rep_").alias("b"), "component")
+    return with_texts(pairs, texts).mapInPandas(run, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in names))
+
+
+def by_differences(under: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links to references, candidates): (a, b) each, for (ref_, rep_, component): documents near one reference.
+
+    Candidates hold every link between documents of one reference and of different components, unless both are linked to
+    the reference. Near copies have most of their sets in common, so no element of these tells them apart; what tells is their
+    difference dX from a common reference R. With near = 100 - percent, far = 100 + percent and the excess
+    w(X) = far * |dX| - near * |X|, A and B are linked if 2 * far * |dA & dB| >= w(A) + w(B), and X and R are if
+    w(X) <= near * |R|. So of two documents that R doesn't link, the one of greater excess isn't linked to R, and the two share a
+    number of differences, which bounds how many of each one's rarest differences have to be looked at (prefix filter).
+    Differences that only one document has match nothing and only count. Matches whose parities lie farther apart than a
+    link allows are dropped; all this is exact.
+    """
+    near, far = 100 - percent, 100 + percent
+    own = ["ref_", "ref_set_", "rep_", "set_"]
+    told = written(differences(under, texts, k, percent).dropDuplicates(own), "differences")
+    each = told.where("apart_ > 0").select(*own, "apart_", F.greatest("index_", F.when(~F.col("linked_"), F.col("probe_")).otherwise(0)).alias("most_"), F.explode("d_").alias("e_"))
+    several = each.groupBy("ref_", "ref_set_", "e_").agg(F.count("*").alias("held_")).where("held_ > 1")
+    shared = each.join(several, ["ref_", "ref_set_", "e_"])
+    doc = Window.partitionBy(*own)
+    shared = shared.withColumn("place_", F.col("apart_") - F.count("*").over(doc) + F.row_number().over(doc.orderBy("held_", "e_")))
+    shared = written(shared.where("place_ <= most_").select(*own, "e_", "place_").join(told.drop("d_"), own), "shared")
+    one = shared.where("not linked_ and place_ <= probe_").select("ref_", "ref_set_", "e_", *(F.col(c).alias(f"a_{c}") for c in ("rep_", "component", "n_", "excess_", "parity_")))
+    two = shared.where("place_ <= index_").select("ref_", "ref_set_", "e_", *(F.col(c).alias(f"b_{c}") for c in ("rep_", "component", "n_", "excess_", "parity_")))
+    least = sum((F.bit_count(F.col("a_parity_")[i].bitwiseXOR(F.col("b_parity_")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    two = two.withColumnsRenamed({c: f"x_{c}" for c in ("ref_", "ref_set_", "e_")})
+    same = (F.col("ref_") == F.col("x_ref_")) & (F.col("ref_set_") == F.col("x_ref_set_")) & (F.col("e_") == F.col("x_e_"))
+    fits = (F.col("a_component") != F.col("b_component")) & (F.col("a_excess_") >= F.col("b_excess_")) & (far * least <= near * (F.col("a_n_") + F.col("b_n_")))
+    pairs = one.join(two, same & fits).select(F.least("a_rep_", "b_rep_").alias("a"), F.greatest("a_rep_", "b_rep_").alias("b"))
+    links = told.where("linked_ and rep_ <> ref_").select(F.least("rep_", "ref_").alias("a"), F.greatest("rep_", "ref_").alias("b"))
+    return links.distinct(), pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text", weed: bool = True) -> DataFrame:
@@ -275,8 +361,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     component_id is the smallest key reachable over links, kept says whether that is the row's own. Null, empty and
     blank texts have no shingles, n_shingles 0, and stand alone. Rows of one key are one document: a link of either
     text links it, and every such row is returned. Rows with a null key are returned with n_shingles and null for the
-    rest. An empty table gives an empty one. Very long texts are hashed in parts and compared whole. ``weed`` false compares
-    the full sets of all pairs that meet in a band, without weeding by signature bits before.
+    rest. An empty table gives an empty one. Very long texts are hashed in parts and compared whole. ``weed`` false holds
+    documents against leaders without weeding by signature bits before; the join by differences never weeds.
     """
     seen = written(sketch(docs, k, bands, rows, key, text), "sketch")
     own = seen.where("key_ is not null")
@@ -288,7 +374,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     band = member.where("bands_ is not null").select("rep_", F.explode("bands_").alias("band_"))
     shared = written(band.groupBy("band_").agg(F.min("rep_").alias("lead_"), F.max("rep_").alias("last_")).where("lead_ < last_").select("band_", "lead_"), "buckets")
     bucket = written(band.join(shared, "band_"), "candidates")
-    vertices = bucket.select("rep_").distinct().join(member.where("bits_ is not null").select("rep_", "bits_", "bands_"), "rep_").distinct().withColumnRenamed("rep_", "key_")
+    vertices = bucket.select("rep_").distinct().join(member.where("bits_ is not null").select("rep_", "bits_"), "rep_").distinct().withColumnRenamed("rep_", "key_")
     vertices = written(vertices, "vertices")
     texts = written(docs.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("text_")).join(vertices.select("key_").distinct(), "key_"), "texts")
 
@@ -304,25 +390,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         lead = written(lead.select("band_", "low_", "lead_").join(vertices.select(F.col("key_").alias("lead_"), F.col("bits_").alias("b_bits")), "lead_"), "mixed")
         if lead.limit(1).count() == 0:
             break
-        sides = vertices.withColumnRenamed("key_", "rep_")
-        known = placed.join(lead.select("band_"), "band_").join(sides.drop("bands_") if turn < LEADER_ROUNDS else sides, "rep_")
-        known = written(known, "apart")
-        if turn < LEADER_ROUNDS:
+        if turn == LEADER_ROUNDS:
+            # the least component's smallest document is the reference of its buckets
+            under = placed.join(lead.select("band_", F.col("low_").alias("ref_")), "band_").select("ref_", "rep_", "component").distinct()
+            found, pairs = by_differences(under, texts, k, percent)
+            found = found.union(verified(written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, k, percent))
+        else:
+            known = placed.join(lead.select("band_"), "band_").join(vertices.select(F.col("key_").alias("rep_"), "bits_"), "rep_")
+            known = written(known, "apart")
             near = known.withColumnRenamed("bits_", "a_bits").join(lead.withColumnRenamed("band_", "at_"), (F.col("band_") == F.col("at_")) & (F.col("component") != F.col("low_")) & (apart("a_bits", "b_bits", words) <= most))
             # one link to a component is enough: of its leaders each document is held against the likeliest
             near = near.groupBy("rep_", "low_").agg(F.min_by("lead_", F.struct(apart("a_bits", "b_bits", words), "lead_")).alias("lead_"))
             pairs = near.select(F.least("rep_", "lead_").alias("a"), F.greatest("rep_", "lead_").alias("b"))
-        else:
-            one = known.select("band_", F.col("rep_").alias("a"), F.col("component").alias("ca"), F.col("bits_").alias("a_bits"), F.col("bands_").alias("a_bands"))
-            two = known.select(F.col("band_").alias("at_"), F.col("rep_").alias("b"), F.col("component").alias("cb"), F.col("bits_").alias("b_bits"), F.col("bands_").alias("b_bands"))
-            near = (F.col("band_") == F.col("at_")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart("a_bits", "b_bits", words) <= most)
-            # a pair is made in the least of the bands it shares, not in each of them
-            pairs = one.join(two, near & (F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("band_"))).select("a", "b")
-        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.limit(1).count() == 0:
-            continue
-        found = written(verified(pairs, texts, k, percent), "edges")
-        tried = tried.union(pairs)
+            pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            if pairs.limit(1).count() == 0:
+                continue
+            found = verified(pairs, texts, k, percent)
+            tried = tried.union(pairs)
+        found = written(found, "edges")
         if found.limit(1).count():
             links = links.union(found)
             group = components(links)

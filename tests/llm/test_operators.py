@@ -274,6 +274,65 @@ def test_near_duplicates_are_all_found(spark, k):
     assert sorted(i for i in ids if i is not None) == sorted(i for i, c in component.items() if i == c) and ids.count(None) == 1
 
 
+def test_near_copies_under_the_threshold_are_not_all_compared(spark, monkeypatch):
+    """A large group whose documents mostly lie a little under the threshold, with families in it that share their changes."""
+    rnd = random.Random(9)
+    lexicon = [f"w{i}" for i in range(3000)]
+    base = [rnd.choice(lexicon) for _ in range(150)]
+
+    def changed(words, n):
+        words = list(words)
+        for p in rnd.sample(range(len(words)), n):
+            words[p] = f"x{rnd.random()}"
+        return words
+
+    texts = [base, *(changed(base, 3) for _ in range(60)), *(changed(base, rnd.choice([9, 10, 11])) for _ in range(300))]
+    for _ in range(15):
+        own = changed(base, 10)
+        texts += [changed(own, rnd.choice([0, 1, 3])) for _ in range(4)]
+    texts += [base[:20] + [rnd.choice(lexicon) for _ in range(40)] for _ in range(40)]
+    texts = {i: " ".join(w) for i, w in enumerate(texts)}
+    compared, plain = [], minhash.verified
+
+    def counted(pairs, *how):
+        compared.append(pairs.count())
+        return plain(pairs, *how)
+
+    monkeypatch.setattr(minhash, "verified", counted)
+    sizes, component = brute_groups(texts, 4)
+    for weed in (True, False):
+        compared.clear()
+        got = minhash.near_duplicates(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS), k=4, weed=weed).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (sizes[i], component[i]) for i in texts}
+        assert sum(compared) < 10 * len(texts)
+    assert 300 < len(set(component.values())) < len(texts) - 80
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_join_by_differences_finds_every_link(spark, percent):
+    rnd = random.Random(percent)
+    texts = {}
+    for i in range(90):
+        base = [f"{rnd.choice('abc') if i % 5 else 'r'}{j}" for j in range(rnd.choice([6, 40, 41]))]
+        for _ in range(rnd.choice([0, 0, 2, 8])):
+            base[rnd.randrange(len(base))] = rnd.choice("xyz")
+        texts[i] = base
+    for i in range(0, 90, 3):
+        texts[i] = [w if rnd.random() > 0.08 else rnd.choice("uv") for w in texts[5 * (i // 30)]]
+    rows = [(i, " ".join(t)) for i, t in texts.items()] + [(7, "another text of the key"), (80, "another text of the key x y z"), (9, " ".join(texts[9]))]
+    sets = [(i, {tuple(w[j : j + 2]) for j in range(len(w) - 1)}) for i, t in rows for w in [t.split()]]
+    held = spark.createDataFrame(rows, "key_ long, text_ string")
+    for ref in (0, 7, 44):
+        under = spark.createDataFrame([(ref, i, i // 2) for i in texts], "ref_ long, rep_ long, component long")
+        found, pairs = minhash.by_differences(under, held, 2, percent)
+        found = {tuple(r) for r in found.collect()}
+        got = found | {tuple(r) for r in minhash.verified(pairs, held, 2, percent).collect()}
+        links = {(min(i, j), max(i, j)) for i, s in sets for j, t in sets if i != j and 100 * len(s & t) >= percent * len(s | t)}
+        assert found == {x for x in links if ref in x} and got <= links
+        near = {i for i, s in sets for j, t in sets if j == ref and 100 * len(s & t) >= percent * len(s | t)}
+        assert {(i, j) for i, j in links if i // 2 != j // 2 and not (i in near and j in near)} <= got
+
+
 def test_signatures_estimate_similarity():
     rnd = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):
