@@ -10,9 +10,10 @@ import codecs
 import heapq
 import json
 import math
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import regex
@@ -21,6 +22,8 @@ import regex
 # Unicode property, as the Rust engine reads it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
+#: Words that ``Recent`` remembers: without lists and digits they take less than CACHE_WORDS of those do.
+RECENT_WORDS = 600_000
 #: Most words that a worker remembers; the memory of a worker is bounded by it and by WORD_BYTES.
 CACHE_WORDS = 400_000
 #: Words longer than this are never remembered.
@@ -35,6 +38,25 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(maxsize=1)
+def narrow_split() -> re.Pattern:
+    """SPLIT for texts of characters below U+10000: the classes spelled out, as ``regex`` has them, for the faster ``re``."""
+    every = "".join(map(chr, range(0x10000)))
+
+    def spelled(kind: str) -> str:
+        return "".join(f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in regex.finditer(rf"\p{{{kind}}}+", every))
+
+    blank, letter, number = map(spelled, ("White_Space", "L", "N"))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
+
+
+def split_words(v: Vocabulary, text: str) -> list[str]:
+    """The words of the split pattern, by the faster engine where no character is beyond its classes."""
+    if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text):
+        return narrow_split().findall(text)
+    return v.split.findall(text)
+
+
 def byte_names() -> dict[str, int]:
     """The printable stand-in characters of the vocabulary file, to the bytes they stand for.
 
@@ -179,6 +201,29 @@ class Memo(dict):
         return out
 
 
+class Recent(dict):
+    """word -> what ``make`` gives for its bytes, for the words met last: bounded, without forgetting all at once.
+
+    Once half of ``most`` words are held, they become the older ones, and the older ones before them go; an older word that
+    is met again moves over. So words that recur stay, however many others come between.
+    """
+
+    def __init__(self, make, most: int = RECENT_WORDS):
+        super().__init__()
+        self.make, self.half, self.older = make, most // 2, {}
+
+    def __missing__(self, word: str):
+        if (out := self.older.pop(word, None)) is None:
+            out = self.make(raw := word.encode("utf-8"))
+            if len(raw) > WORD_BYTES:
+                return out
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[word] = out
+        return out
+
+
 def pieces(v: Vocabulary, text: str) -> Iterator[tuple[int, list[str]]]:
     """The text cut at special strings, as the library's default does: (-1, words) or (id of a special token, [])."""
     if v.special_split is None or not any(s in text for s in v.specials):
@@ -404,7 +449,7 @@ def words(v: Vocabulary, chunks: Iterable[str], window: int = WINDOW) -> Iterato
                 continue
             yield [], held[: end - back], True
             held, run = held[end - back :], None
-        found = v.split.findall(held)
+        found = split_words(v, held)
         if not found:
             continue
         waits = 2 if len(found) > 1 and found[-2] == "'" and found[-1] in ("l", "r", "v") else 1
@@ -422,36 +467,35 @@ def words(v: Vocabulary, chunks: Iterable[str], window: int = WINDOW) -> Iterato
         yield [], held, True
         held = ""
     if held:
-        yield v.split.findall(held), "", True
+        yield split_words(v, held), "", True
 
 
 class Encoder:
     """Text in chunks -> ids, in portions, as soon as they are settled; every id comes from the transducer.
 
-    Words recur: what the transducer gave for short ones is remembered (bounded), as ids and as their decimal digits.
+    Words recur: what the transducer gave for the short ones met last is remembered (bounded), as bytes, which the garbage
+    collector needn't visit.
     """
 
     def __init__(self, path: str, window: int = WINDOW):
         self.v, self.m, self.window = vocabulary(path), machine(path), window
         self.digits = [str(i) for i in range(len(self.v.token))]
-        self.one, self.memo = Transducer(self.m), Memo(self.word)
+        self.one, self.memo = Transducer(self.m), Recent(self.word)
 
-    def word(self, raw: bytes) -> tuple[list[int], str]:
-        ids, digits = self.one.feed(raw) + self.one.finish(), self.digits
-        return ids, ",".join([digits[i] for i in ids])
+    def word(self, raw: bytes) -> bytes:
+        return array("I", self.one.feed(raw) + self.one.finish()).tobytes()
 
     def plain(self, chunks: Iterable[str]) -> Iterator[tuple[list[int], str]]:
         """(ids, their digits joined by commas) of a text without special strings."""
         memo, t = self.memo, None
         for whole, part, ended in words(self.v, chunks, self.window):
             if whole:
-                got = list(map(memo.__getitem__, whole))
-                yield list(chain.from_iterable([ids for ids, _ in got])), ",".join([d for _, d in got])
-            elif part or ended:
+                ids = array("I", b"".join(map(memo.__getitem__, whole))).tolist()
+            else:
                 t = t or Transducer(self.m)
                 ids = t.feed(part.encode("utf-8")) + (t.finish() if ended else [])
-                if ids:
-                    yield ids, ",".join(map(self.digits.__getitem__, ids))
+            if ids:
+                yield ids, ",".join(map(self.digits.__getitem__, ids))
 
     def stream(self, text: str) -> Iterator[tuple[list[int], str]]:
         parts = self.v.special_split.splititer(text) if self.v.special_split else [text]

@@ -127,6 +127,33 @@ def test_tokens_go_out_before_a_word_ends(spark, path):
     assert peaks[1] < 1.5 * peaks[0]
 
 
+def test_recurring_words_are_transduced_once(path, library):
+    """However many other words come between, and however often what is remembered is full."""
+    rnd, made = random.Random(4), []
+    common, other = [f" c{'abcdefghij'[i]}on" for i in range(10)], set()
+    text = ""
+    for _ in range(400):
+        w = " " + "".join(rnd.choice("abcdefgh") for _ in range(12))
+        other.add(w)
+        text += w + rnd.choice(common)
+    encode = bpe.Encoder(path)
+    encode.memo = type(encode.memo)(lambda raw: made.append(raw.decode()) or encode.word(raw), 100)
+    got = list(encode.plain([text]))
+    assert [i for ids, _ in got for i in ids] == library.encode(text, add_special_tokens=False).ids
+    assert len(encode.memo) <= 100 and sum(w in common for w in made) <= 2 * len(common)
+
+
+def test_both_splits_are_alike(path):
+    v, rnd = bpe.vocabulary(path), random.Random(6)
+    for i in range(0x10000):
+        c = chr(i)
+        text = f"a{c}1 {c}{c} b\n{c}!{c}'s {c}  {c}"
+        assert bpe.narrow_split().findall(text) == v.split.findall(text), i
+    for _ in range(500):
+        text = "".join(rnd.choice("ab1!' \n\u00e9\u0301\u00a0\u3000\u0663\x1c\U0001f600\U00020000\U0001d7ce") for _ in range(rnd.randint(0, 30)))
+        assert bpe.split_words(v, text) == v.split.findall(text)
+
+
 def test_stream_split_anywhere_in_contractions(path, library):
     tails = ["'ll", "'re", "'ve", "'s", "'d", "'m", "'t", "'lx", "'r", "'v", "''ll", " 'll", "!'ve", "'LL", "1're"]
     for text in [f"we{t}{end}" for t in tails for end in (" go", "", "x", "\n")]:
