@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +16,8 @@ from pyspark.sql import types as T
 from ..functions.scalars import FLOAT, strip
 
 TOLERANCE = 0.01
+#: The tolerance with what the last bits of doubles change.
+NEAR = TOLERANCE + 1e-9
 #: Texts without a point are numbers if they are whole ones.
 WHOLE = r"^[+-]?\d+(_\d+)*$"
 #: An empty result may stand as this one cell.
@@ -71,84 +76,184 @@ def exact_matches(pred: DataFrame, gold: DataFrame) -> DataFrame:
 def tolerant_matches(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """(tp, fp, fn) where numbers may differ by 0.01: a maximum matching.
 
-    Rows with equal texts and numbers rounded down to neighbouring cells can match; so rows are grouped by their texts
-    and, along the first number, by runs without a gap over the tolerance. Only within such a run a maximum matching is
-    needed, and a run of one distinct row is a plain count.
+    Rows with equal texts are split along their first number into runs without a gap over the tolerance; no pair crosses
+    two runs. A run that lies within the tolerance in every number matches all it can, two rows that don't lie so match only
+    their own copies, and a run of one side matches nothing: those are plain counts. Other runs are split along the next
+    numbers too, and matched row by row (``match_sorted``).
     """
     rows = canonical_rows(pred).withColumn("side", F.lit(0)).unionAll(canonical_rows(gold).withColumn("side", F.lit(1)))
-    texts = F.transform("cells", lambda x: F.struct(x["s"], x["n"].isNull().alias("z")))
-    first = F.coalesce(F.get(F.filter(F.transform("cells", lambda x: x["n"]), lambda x: x.isNotNull()), F.lit(0)), F.lit(0.0))
-    rows = rows.groupBy(F.to_json(texts).alias("key"), "cells", first.alias("first")).agg(F.count(F.when(F.col("side") == 0, 1)).alias("a"), F.count(F.when(F.col("side") == 1, 1)).alias("b"))
-    w = Window.partitionBy("key").orderBy("first")
-    gap = F.col("first") - F.lag("first").over(w) > TOLERANCE + 1e-9
-    rows = rows.withColumn("run", F.sum(F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Run after run of a sorted partition; only one run is held."""
-        held, mark = [], None
-        done = lambda: pd.DataFrame([(matching(p := pd.DataFrame(held, columns=["n", "a", "b"])), int(p["a"].sum()), int(p["b"].sum()))], columns=["tp", "a", "b"])
-        for p in batches:
-            for key, run, *row in p[["key", "run", "n", "a", "b"]].itertuples(index=False):
-                if (key, run) != mark and held:
-                    yield done()
-                    held = []
-                mark = (key, run)
-                held.append(row)
+    fixed = (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    width = max(1, sum(not (isinstance(p.dataType, fixed) and isinstance(g.dataType, fixed)) for p, g in zip(pred.schema, gold.schema, strict=True)))
+    # a text with its length, n for a number, - for a null: no two rows of other texts or other places of numbers share a key
+    mark = F.transform("cells", lambda x: F.when(x["s"].isNotNull(), F.concat(F.length(x["s"]).cast("string"), F.lit(":"), x["s"])).when(x["n"].isNotNull(), "n").otherwise("-"))
+    numbers = F.filter(F.transform("cells", lambda x: x["n"]), lambda x: x.isNotNull())
+    xs = [f"x{i}" for i in range(width)]
+    rows = rows.select(F.array_join(mark, "").alias("key"), numbers.alias("n"), "side").select("key", *(F.get("n", F.lit(i)).alias(x) for i, x in enumerate(xs)), "side")
+    rows = rows.groupBy("key", *xs).agg(F.count(F.when(F.col("side") == 0, 1)).alias("a"), F.count(F.when(F.col("side") == 1, 1)).alias("b"))
+
+    def split(rows: DataFrame, by: list[str], x: str, run: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(x)
+        before = F.lag(x).over(w)
+        gap = F.coalesce((F.col(x) != before) & (F.col(x) - before > NEAR), F.lit(False))
+        return rows.withColumn("gap", gap).withColumn(run, F.sum(F.col("gap").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    runs = split(rows, ["key"], xs[0], "run0")
+    run = Window.partitionBy("key", "run0")
+    close = F.lit(True)
+    for x in xs:
+        most, least = F.max(x).over(run), F.min(x).over(run)
+        close &= F.coalesce((most == least) | (most - least <= NEAR), F.lit(True))
+    one, all_ = F.count("*").over(run), F.least(F.sum("a").over(run), F.sum("b").over(run))
+    # how a run is counted: each row's own copies, all at once, or row by row
+    runs = runs.withColumns({"all": all_, "way": F.when((one == 1) | (all_ == 0), "own").when(close, "all").when(one == 2, "own").otherwise("rows")})
+    counted = runs.where("way <> 'rows'").groupBy("key", "run0").agg(F.first("way").alias("way"), F.first("all").alias("all"), F.sum(F.least("a", "b")).alias("own"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    plain = counted.select(F.when(F.col("way") == "all", F.col("all")).otherwise(F.col("own")).alias("tp"), "a", "b")
+    hard, by = runs.where("way = 'rows'").drop("all", "way"), ["key", "run0"]
+    for i, x in enumerate(xs[1:], 1):
+        hard = split(hard, by, x, f"run{i}")
+        by = [*by, f"run{i}"]
+    hard = hard.select(F.to_json(F.struct(*by)).alias("mark"), *xs, "a", "b").repartition("mark").sortWithinPartitions("mark", *xs).mapInPandas(match_sorted, "tp long, a long, b long")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return plain.unionAll(hard).agg(n("tp").alias("tp"), n(F.col("a") - F.col("tp")).alias("fp"), n(F.col("b") - F.col("tp")).alias("fn"))
+
+
+def match_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Run after run (mark, x0..., a, b), each sorted. Runs of one number need only the rows within the tolerance; else one run is held."""
+    mark, line, held, n = None, None, [], [0, 0, 0]
+
+    def done() -> None:
         if held:
-            yield done()
+            n[0] += flow_of(*map(list, zip(*held, strict=True)))
+
+    for p in batches:
+        xs = [c for c in p.columns if c[0] == "x"]
+        for m, a, b, *x in p[["mark", "a", "b", *xs]].itertuples(index=False):
+            x = [v for v in x if v == v and v is not None]
+            if m != mark:
+                done()
+                mark, held, line = m, [], Line() if len(x) == 1 else None
+            n[1] += a
+            n[2] += b
+            if line:
+                n[0] += line.add(x[0], a, b)
+            else:
+                held.append((x, a, b))
+    done()
+    yield pd.DataFrame([n], columns=["tp", "a", "b"])
 
-    runs = rows.select("key", "run", F.transform("cells", lambda x: x["n"]).alias("n"), "a", "b")
-    alone = Window.partitionBy("key", "run")
-    runs = runs.withColumn("m", F.count("*").over(alone))
-    easy = runs.where("m = 1").select(F.least("a", "b").alias("tp"), "a", "b")
-    hard = runs.where("m > 1").repartition("key", "run").sortWithinPartitions("key", "run").mapInPandas(match, "tp long, a long, b long")
-    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return easy.unionByName(hard).agg(n("tp").alias("tp"), n(F.col("a") - F.col("tp")).alias("fp"), n(F.col("b") - F.col("tp")).alias("fn"))
+
+class Line:
+    """A maximum matching along one number, rows in its order: each takes the least ones of the other side that are still in reach."""
+
+    def __init__(self) -> None:
+        self.open: deque[list] = deque()  # (number, side, count); all of one side
+
+    def add(self, x: float, a: int, b: int) -> int:
+        total = 0
+        while self.open and not abs(x - self.open[0][0]) <= NEAR:
+            self.open.popleft()
+        for side, left in ((0, a), (1, b)):
+            while left and self.open and self.open[0][1] != side:
+                f = min(left, self.open[0][2])
+                total, left = total + f, left - f
+                self.open[0][2] -= f
+                if not self.open[0][2]:
+                    self.open.popleft()
+            if left:
+                self.open.append([x, side, left])
+        return total
 
 
 def matching(p: pd.DataFrame) -> int:
-    """The greatest number of pairs within the tolerance, for rows with counts a and b: a flow by augmenting paths."""
-    n = [[None if x is None or x != x else float(x) for x in v] for v in p["n"]]
-    a, b = [int(x) for x in p["a"]], [int(x) for x in p["b"]]
-    near = lambda x, y: all((u is None) == (v is None) and (u is None or abs(u - v) <= TOLERANCE + 1e-9) for u, v in zip(x, y, strict=True))
-    to = {i: [j for j in range(len(n)) if b[j] and near(n[i], n[j])] for i in range(len(n)) if a[i]}
-    flow: dict[tuple[int, int], int] = {}
+    """The greatest number of pairs within the tolerance, for rows with counts a and b."""
+    return flow_of([[None if x is None or x != x else float(x) for x in v] for v in p["n"]], [int(x) for x in p["a"]], [int(x) for x in p["b"]])
+
+
+def flow_of(n: list[list[float | None]], a: list[int], b: list[int]) -> int:
+    """A flow by shortest augmenting paths, many in a round. Only rows in neighbouring cells along two of the numbers are compared."""
+    near = lambda x, y: all((u is None) == (v is None) and (u is None or u == v or abs(u - v) <= NEAR) for u, v in zip(x, y, strict=True))
+    right = [j for j in range(len(n)) if b[j]]
+    cell = lambda u: math.floor(u / (2 * NEAR)) if u is not None and math.isfinite(u) else u
+    beside = lambda c: (c - 1, c, c + 1) if isinstance(c, int) else (c,)
+    places = range(min(map(len, n), default=0))
+    used = sorted(places, key=lambda d: -len({cell(x[d]) for x in n}))[:2]  # the two numbers that part the rows most
+    cells: dict[tuple, list[int]] = {}
+    for j in right:
+        cells.setdefault(tuple(cell(n[j][d]) for d in used), []).append(j)
+    to = {}
+    for i in range(len(n)):
+        if a[i]:
+            around = itertools.product(*(beside(cell(n[i][d])) for d in used))
+            to[i] = [j for c in around for j in cells.get(c, ()) if near(n[i], n[j])]
+    flow: dict[int, dict[int, int]] = {j: {} for j in right}  # by right row: what each left row gives it
     free_a, free_b, total = list(a), list(b), 0
-    for i in to:  # equal rows first
-        if i in to[i]:
-            f = min(free_a[i], free_b[i])
-            flow[i, i], total = f, total + f
-            free_a[i] -= f
-            free_b[i] -= f
+
+    def give(i: int, j: int, f: int) -> None:
+        flow[j][i] = flow[j].get(i, 0) + f
+        if not flow[j][i]:
+            del flow[j][i]
+
+    for i in to:  # equal rows first, then any
+        for j in ([i] if i in to[i] else []) + to[i]:
+            if f := min(free_a[i], free_b[j]):
+                give(i, j, f)
+                free_a[i], free_b[j], total = free_a[i] - f, free_b[j] - f, total + f
     while True:
-        back: dict[tuple[str, int], tuple[str, int] | None] = {("a", i): None for i in to if free_a[i]}
-        queue, end = list(back), None
-        for side, i in queue:
-            steps = [("b", j) for j in to[i]] if side == "a" else [("a", k) for k in to if flow.get((k, i), 0)]
-            for s in steps:
-                if s not in back:
-                    back[s] = (side, i)
-                    queue.append(s)
-                    if s[0] == "b" and free_b[s[1]]:
-                        end = s
-                        break
-            if end:
-                break
-        if not end:
+        level = {i: 0 for i in to if free_a[i]}
+        layer, depth, ends = list(level), 0, False
+        seen: dict[int, int] = {}  # right rows by depth
+        while layer and not ends:
+            found = []
+            for i in layer:
+                for j in to[i]:
+                    if j not in seen:
+                        seen[j] = depth
+                        found.append(j)
+                        ends = ends or bool(free_b[j])
+            depth += 1
+            layer = []
+            for j in found:
+                for k in flow[j]:
+                    if k not in level:
+                        level[k] = depth
+                        layer.append(k)
+        if not ends:
             return total
-        path = [end]
-        while back[path[-1]]:
-            path.append(back[path[-1]])
-        path.reverse()
-        room = min([free_a[path[0][1]], free_b[end[1]], *(flow[path[x + 1][1], path[x][1]] for x in range(1, len(path) - 1, 2))])
-        for x, y in zip(path, path[1:], strict=False):
-            if x[0] == "a":
-                flow[x[1], y[1]] = flow.get((x[1], y[1]), 0) + room
-            else:
-                flow[y[1], x[1]] -= room
-        free_a[path[0][1]] -= room
-        free_b[end[1]] -= room
-        total += room
+        # paths of the layers, left and right rows by turns; edges that led nowhere aren't tried again
+        next_right, next_left, back = dict.fromkeys(level, 0), dict.fromkeys(seen, 0), {j: list(flow[j]) for j in seen}
+        for start in [i for i, d in level.items() if d == 0]:
+            while free_a[start]:
+                path, end = [start], None
+                while path:
+                    x = path[-1]
+                    if len(path) % 2:
+                        while next_right[x] < len(to[x]) and seen.get(to[x][next_right[x]]) != level[x]:
+                            next_right[x] += 1
+                        if next_right[x] == len(to[x]):
+                            path.pop()
+                            if path:
+                                next_left[path[-1]] += 1
+                            continue
+                        path.append(to[x][next_right[x]])
+                        if free_b[path[-1]]:
+                            end = path[-1]
+                            break
+                    else:
+                        while next_left[x] < len(back[x]) and not (flow[x].get(back[x][next_left[x]]) and level.get(back[x][next_left[x]]) == seen[x] + 1):
+                            next_left[x] += 1
+                        if next_left[x] < len(back[x]):
+                            path.append(back[x][next_left[x]])
+                        else:
+                            path.pop()
+                            next_right[path[-1]] += 1
+                if end is None:
+                    break
+                room = min([free_a[start], free_b[end], *(flow[path[x]][path[x + 1]] for x in range(1, len(path) - 1, 2))])
+                for x in range(0, len(path), 2):
+                    give(path[x], path[x + 1], room)
+                    if x:
+                        give(path[x], path[x - 1], -room)
+                free_a[start], free_b[end], total = free_a[start] - room, free_b[end] - room, total + room
 
 
 def scores(counts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import glob
 import itertools
 import os
 import random
+import time
 
 import duckdb
 import pandas as pd
@@ -183,6 +184,34 @@ def test_matching_is_maximum():
         assert evalmetric.matching(pd.DataFrame({"n": [[x] for x in v], "a": [a.count(x) for x in v], "b": [b.count(x) for x in v]})) == best
 
 
+def test_matching_of_long_runs(spark):
+    """Runs of thousands of rows without a gap; comparing every two of them, or one path a round, takes many minutes."""
+    n = 20_000
+    gold = spark.range(n).select((F.col("id") * 0.004).alias("x"), F.lit("a").alias("s"))
+    pred = spark.range(n).select((F.col("id") * 0.004 + 0.0101).alias("x"), F.lit("A").alias("s"))
+    began = time.perf_counter()
+    assert tuple(evalmetric.tolerant_matches(pred, gold).first()) == (n - 1, 1, 1)  # row i in reach of rows i + 1 to i + 5
+    rnd = random.Random(4)
+    points = sorted({(rnd.randrange(9) * 0.004, rnd.randrange(4000) * 0.004) for _ in range(12_000)})
+    p = pd.DataFrame({"n": [list(x) for x in points], "a": [1] * len(points), "b": [1] * len(points)})
+    assert evalmetric.matching(p) == len(points)
+    assert time.perf_counter() - began < 60
+
+
+def test_matching_by_runs(spark):
+    """Tables of one to three numbers, counts over runs against one flow over all rows."""
+    rnd = random.Random(6)
+    for width in (1, 2, 3):
+        sides = [[("t" if rnd.random() < 0.8 else None, *(rnd.randrange(5) * 0.006 + rnd.randrange(4) for _ in range(width))) for _ in range(200)] for _ in range(2)]
+        pred, gold = (spark.createDataFrame(r, "s string, " + ", ".join(f"x{i} double" for i in range(width))) for r in sides)
+        best = 0
+        for s in ("t", None):
+            v = sorted({r[1:] for side in sides for r in side if r[0] == s})
+            a, b = ([[r[1:] for r in side if r[0] == s].count(x) for x in v] for side in sides)
+            best += evalmetric.matching(pd.DataFrame({"n": [list(x) for x in v], "a": a, "b": b}))
+        assert tuple(evalmetric.tolerant_matches(pred, gold).first()) == (best, 200 - best, 200 - best)
+
+
 def test_compare(spark):
     gold = spark.createDataFrame([(1, "a", 2.0, 0), (2, "b", 1.0, 1), (3, "c", 1.0, 2)], "id int, name string, x double, pos int")
     pred = spark.createDataFrame([("A ", 2.005, "1.0", 0), ("c", 1.0, "3", 1), ("b", 1.0, "2", 2)], "NAME string, x double, ID string, pos int")
