@@ -13,6 +13,8 @@ from .chunk import preprocess
 
 #: Queries that one pass over the corpus scores; more are taken in several passes.
 QUERY_BLOCK = 4096
+#: Queries and rows of which a task holds the scores at a time: 4 MiB.
+TILE = (256, 2048)
 
 
 def normalised(v: Column) -> Column:
@@ -35,13 +37,50 @@ def view(corpus: DataFrame, kind: str = "text", encode: Callable[[Column], Colum
     return corpus.select("chunk_id", encode(text).alias("embedding"))
 
 
+def unit(v: pd.Series) -> np.ndarray:
+    m = np.array(v.tolist(), np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def best_rows(batches: Iterator[pd.DataFrame], ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """(q_, k_, score): a task's k best rows (k_, v_) of each query. It holds them and one tile of scores, whatever the rows
+    and queries are; a row that isn't among a query's k best so far is dropped by its score alone."""
+    held = [(np.zeros(0, np.int64), None, np.zeros(0)) for _ in range(0, len(ids), TILE[0])]  # of each tile's queries: query, key, score
+    least = np.full(len(ids), -np.inf)  # the k-th best score so far
+    for p in batches:
+        for at in range(0, len(p), TILE[1]):
+            piece = p[at : at + TILE[1]]
+            u, keys = unit(piece["v_"]).T, piece["k_"].to_numpy()
+            for t, (query, key, score) in enumerate(held):
+                lo = t * TILE[0]
+                bound = least[lo : lo + TILE[0]]
+                s = q[lo : lo + TILE[0]] @ u
+                keep = ~(s < (bound - 1e-11)[:, None])  # more than rounding changes; NaN stays
+                if keep.sum() > 4 * k * len(s) and s.shape[1] > k:
+                    with np.errstate(invalid="ignore"):
+                        keep &= ~(s < (np.partition(s, -k, axis=1)[:, -k] - 1e-11)[:, None])  # NaN sorts last, as the greatest
+                i, j = np.nonzero(keep)
+                if not len(i):
+                    continue
+                query, key, score = np.concatenate([query, i]), keys[j] if key is None else np.concatenate([key, keys[j]]), np.concatenate([score, np.round(s[i, j], 12)])
+                order = np.lexsort((key, np.where(np.isnan(score), -np.inf, -score), query))
+                query, key, score = query[order], key[order], score[order]
+                nth = np.arange(len(query)) - np.searchsorted(query, query)
+                last = nth == k - 1
+                bound[query[last]] = np.where(np.isnan(score[last]), np.inf, score[last])
+                held[t] = query[nth < k], key[nth < k], score[nth < k]
+    for t, (query, key, score) in enumerate(held):
+        if len(query):
+            yield pd.DataFrame({"q_": ids[t * TILE[0] + query], "k_": key, "score": score})
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id", qid: str = "query_id", vector: str = "embedding") -> DataFrame:
     """(qid, rank, key, score): the k greatest inner products of unit vectors, ties to the smaller key; score rounded to 6.
 
     Ranks go by the score to 12 digits, which leaves out what the order of a sum changes.
 
     A block of at most QUERY_BLOCK queries goes to the tasks as one matrix; each task keeps k rows a query, so what is
-    shuffled is k rows a query and task. Null vectors take no part.
+    shuffled is k rows a query and task. Scores are held for a tile of queries and rows at a time. Null vectors take no part.
     """
     spark = corpus.sparkSession
     width = corpus.schema[key].dataType.simpleString()
@@ -53,20 +92,8 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 3, key: str = "vec_id"
         part = asked.where(F.pmod(F.xxhash64("q_"), F.lit(n)) == b).toPandas()
         if not len(part):
             continue
-        unit = lambda v: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.array(v.tolist(), np.float64))
         sent = spark.sparkContext.broadcast((part["q_"].to_numpy(), unit(part["v_"])))
-
-        def score(batches: Iterator[pd.DataFrame], sent=sent, unit=unit) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            for p in batches:
-                if not len(p):
-                    continue
-                s, keys = np.round(q @ unit(p["v_"]).T, 12), p["k_"].to_numpy()
-                for i, y in zip(ids, s, strict=True):
-                    best = np.lexsort((keys, -y))[:k]
-                    yield pd.DataFrame({"q_": i, "k_": keys[best], "score": y[best]})
-
-        one = rows.mapInPandas(score, f"q_ {queries.schema[qid].dataType.simpleString()}, k_ {width}, score double")
+        one = rows.mapInPandas(lambda batches, sent=sent: best_rows(batches, *sent.value, k), f"q_ {queries.schema[qid].dataType.simpleString()}, k_ {width}, score double")
         out = one if out is None else out.unionAll(one)
     if out is None:
         return spark.createDataFrame([], f"{qid} long, rank int, {key} {width}, score double")

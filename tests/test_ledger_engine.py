@@ -5,8 +5,10 @@ import itertools
 import os
 import random
 import time
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -255,6 +257,25 @@ def test_near_scores_rank_by_the_full_score(spark):
     assert [r["vec_id"] for r in retrieve.top_k(e, q, 2).orderBy("rank").collect()] == [2, 1]
 
 
+def test_top_k_holds_one_tile():
+    """Best rows as a full sort gives them, ties and NaN too; the scores of all queries and rows are never held at once."""
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(3_000, 4)).round(1)  # many equal vectors
+    v[3], v[4, 2] = 0, np.nan
+    p = pd.DataFrame({"k_": rng.permutation(3_000), "v_": list(v)})
+    q = retrieve.unit(p["v_"][:300])
+    found = pd.concat(retrieve.best_rows(iter([p[:1_000], p[1_000:1_000], p[1_000:]]), np.arange(300), q, 20))
+    scores = np.round(q @ retrieve.unit(p["v_"]).T, 12)
+    for i, y in enumerate(scores):
+        best = np.lexsort((p["k_"], np.where(np.isnan(y), -np.inf, -y)))[:20]
+        assert found["k_"][found["q_"] == i].tolist() == p["k_"].to_numpy()[best].tolist()
+    p = pd.DataFrame({"k_": np.arange(10_000), "v_": list(rng.normal(size=(10_000, 4)))})
+    tracemalloc.start()
+    list(retrieve.best_rows(iter([p]), np.arange(4_096), retrieve.unit(p["v_"][:4_096]), 20))
+    assert tracemalloc.get_traced_memory()[1] < 100e6  # one matrix of scores would be 328 MB
+    tracemalloc.stop()
+
+
 def test_standardised_table(spark):
     from tallyspark.operators.standardise import COLUMNS, standardise
 
