@@ -129,8 +129,26 @@ def ir_metrics(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 3, 5,
     """
     good = qrels.where("rel > 0")
     n_rel = good.groupBy("query_id").agg(F.count("*").alias("n_rel"), F.sort_array(F.collect_list(F.col("rel").cast("double")), asc=False).alias("ideal"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = run.withColumn("r", F.row_number().over(w)).join(good, ["query_id", "doc_id"]).withColumn("hits", F.row_number().over(Window.partitionBy("query_id").orderBy("r")))
+    return _metrics(_ranked(run).join(good, ["query_id", "doc_id"]), n_rel, ks)
+
+
+def ir_metrics_by_label(run: DataFrame, queries: DataFrame, docs: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """``ir_metrics`` where all documents (doc_id, label) of a query's label (query_id, label) are relevant, once each: they are counted by
+    label, and the pairs, which grow with the square of the documents, aren't made."""
+    sizes = docs.groupBy("label").agg(F.count("*").alias("n"))
+    n_rel = queries.join(sizes, "label").groupBy("query_id").agg(F.sum("n").alias("n_rel"))
+    n_rel = n_rel.withColumn("ideal", F.array_repeat(F.lit(1.0), F.least("n_rel", F.lit(max(ks))).cast("int")))
+    found = _ranked(run).join(queries, "query_id").join(docs, ["doc_id", "label"]).withColumn("rel", F.lit(1))
+    return _metrics(found, n_rel, ks)
+
+
+def _ranked(run: DataFrame) -> DataFrame:
+    return run.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+
+
+def _metrics(found: DataFrame, n_rel: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """From the relevant ones among the ranked rows (query_id, r, rel), and each judged query's (query_id, n_rel, ideal)."""
+    ranked = found.withColumn("hits", F.row_number().over(Window.partitionBy("query_id").orderBy("r")))
     dcg = lambda k: F.sum(F.when(F.col("r") <= k, F.col("rel") / F.log2(F.col("r") + 1)))
     hit = lambda k: F.sum(F.when(F.col("r") <= k, 1.0))
     ap = lambda k: F.sum(F.when(F.col("r") <= k, F.col("hits") / F.col("r")))

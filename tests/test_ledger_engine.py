@@ -257,6 +257,15 @@ def test_near_scores_rank_by_the_full_score(spark):
     assert [r["vec_id"] for r in retrieve.top_k(e, q, 2).orderBy("rank").collect()] == [2, 1]
 
 
+def test_metrics_by_label(spark):
+    """As from the pairs of the judgements, which aren't made; a label of no other document and one that isn't found, too."""
+    docs = spark.createDataFrame([(i, i % 4 if i < 29 else 9) for i in range(31)] + [(31, None)], "doc_id int, label int")
+    queries = spark.createDataFrame([(0, 0), (1, 1), (29, 9), (2, 2), (7, None)], "query_id int, label int")
+    run = spark.createDataFrame([(q, (q + 3 * d) % 32, 1.0 / (1 + d // 2)) for q in (0, 1, 29, 7) for d in range(12)], "query_id int, doc_id int, score double")
+    qrels = queries.join(docs, "label").select("query_id", "doc_id", F.lit(1).alias("rel"))
+    assert retrieve.ir_metrics_by_label(run, queries, docs).collect() == retrieve.ir_metrics(run, qrels).collect()
+
+
 def test_top_k_holds_one_tile():
     """Best rows as a full sort gives them, ties and NaN too; the scores of all queries and rows are never held at once."""
     rng = np.random.default_rng(0)
