@@ -78,15 +78,15 @@ def whole_word(c: Column, word: str) -> Column:
 
 
 def profile(t: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_name, n_null, n_distinct, min_value, max_value): exact; every column counts its distinct values on its own,
-    so no row is expanded once for each column. Least and greatest only for numbers and dates."""
-    out = None
-    for c in columns:
+    """(column_name, n_null, n_distinct, min_value, max_value): exact, in one pass, so that what ``t`` joins is joined once; a
+    task sends each of a column's values once. Least and greatest only for numbers and dates."""
+    out, parts = [], []
+    for i, c in enumerate(columns):
         ranged = t.schema[c].dataType.typeName() not in ("string", "boolean")
         end = lambda f, c=c, ranged=ranged: f(F.col(c)).cast("string") if ranged else F.lit(None).cast("string")
-        one = t.agg(F.count(F.when(F.col(c).isNull(), 1)).alias("n_null"), F.countDistinct(c).alias("n_distinct"), end(F.min).alias("min_value"), end(F.max).alias("max_value")).select(F.lit(c).alias("column_name"), "*")
-        out = one if out is None else out.unionAll(one)
-    return out
+        out += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"a{i}"), F.countDistinct(c).alias(f"b{i}"), end(F.min).alias(f"c{i}"), end(F.max).alias(f"d{i}")]
+        parts.append(F.struct(F.lit(c).alias("column_name"), F.col(f"a{i}").alias("n_null"), F.col(f"b{i}").alias("n_distinct"), F.col(f"c{i}").alias("min_value"), F.col(f"d{i}").alias("max_value")))
+    return t.agg(*out).select(F.inline(F.array(*parts)))
 
 
 def few_values(t: DataFrame, columns: list[str], most: int = 10) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import headers, scalars
-from tallyspark.operators import chunk, evalmetric, reconcile, retrieve, rows
+from tallyspark.operators import audit, chunk, evalmetric, reconcile, retrieve, rows
 from tallyspark.plans import agent, dialect, gold, registry
 from tallyspark.sources import ledger
 
@@ -257,6 +257,16 @@ def test_near_scores_rank_by_the_full_score(spark):
     assert [r["vec_id"] for r in retrieve.top_k(e, q, 2).orderBy("rank").collect()] == [2, 1]
 
 
+def test_profile_joins_once(spark):
+    """What the profiled table joins is joined once, not once a column."""
+    a = spark.createDataFrame([(1, "x", 2.5), (2, None, 1.5), (3, "x", None)], "k int, s string, v double")
+    t = a.join(spark.range(1, 4).toDF("k"), "k")
+    p = audit.profile(t, ["k", "s", "v"])
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert [tuple(r) for r in p.collect()] == [("k", 0, 3, "1", "3"), ("s", 1, 1, None, None), ("v", 1, 2, "1.5", "2.5")]
+    assert [tuple(r) for r in audit.profile(t.limit(0), ["s", "v"]).collect()] == [("s", 0, 0, None, None), ("v", 0, 0, None, None)]
+
+
 def test_metrics_by_label(spark):
     """As from the pairs of the judgements, which aren't made; a label of no other document and one that isn't found, too."""
     docs = spark.createDataFrame([(i, i % 4 if i < 29 else 9) for i in range(31)] + [(31, None)], "doc_id int, label int")
